@@ -37,7 +37,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     words = text.encode().split()
     n = len(words)
     if not n:
-        return (0, 0, *(0 if k else sum(map(text.count, SYMBOLS)) for k in range(7)))
+        return (0,) * len(MEASURES)
     h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
     repeats = 0
     if n >= 3:
@@ -92,7 +92,7 @@ def rules() -> dict[str, Column]:
     return {
         "word_length": _vote((mean >= 2.5) & (mean <= 9), (mean < 2) | (mean > 14)),
         "symbols": _vote(c("n_symbols") * 100 <= n, c("n_symbols") * 10 >= n),
-        "lines": _vote(c("n_dup_lines") == 0, c("n_dup_lines") * 10 >= c("n_lines") * 3),
+        "lines": _vote(c("n_dup_lines") == 0, (c("n_dup_lines") >= 2) & (c("n_dup_lines") * 2 >= c("n_lines"))),
         "repeats": _vote(c("n_repeat_words") * 10 <= n, c("n_repeat_words") * 10 >= n * 4),
         "stutter": _vote(c("n_same_as_last") * 20 <= n, c("n_same_as_last") * 5 >= n),
         "shouting": _vote(c("n_shouted") * 20 <= n, c("n_shouted") * 10 >= n * 3),
@@ -101,48 +101,65 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.8, strength: float = 10.0) -> tuple[np.ndarray, dict]:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.8, strength: float = 20.0) -> tuple[np.ndarray, dict]:
     """Posterior of good for each pattern of votes, by expectation-maximisation.
 
-    Given the class, rules vote independently; a rule that votes is right with its own accuracy in that class.  Whether
-    a rule votes at all doesn't depend on the class.  Accuracies start from, and are drawn to, one Beta prior (mean
-    0.75, `strength` votes), which fixes which class is called good; they are kept above one half for the same reason.
+    Documents are good, or bad in one of as many kinds as there are rules, each kind the one that a rule is made for;
+    given the kind, rules vote independently, and whether a rule votes at all doesn't depend on the kind.  (With one
+    bad class, the commonest kind takes it, and rules for rarer kinds seem worthless.)  Beta priors of `strength` votes
+    start from, and draw to: a bad vote from 0.02 of good documents, 0.9 of the rule's own kind, 0.15 of other kinds.
+    A rule calls 2 in 100 good documents bad at most and sees half of its own kind at least, which fixes the kinds.
     """
-    good, bad = patterns == 1, patterns == -1
-    acc = np.full((2, patterns.shape[1]), 0.75)  # [class, rule], class 1 is good
-    share = prior
-    post = np.zeros(len(patterns))
+    k = patterns.shape[1]
+    good, bad = (patterns == 1).astype(float), (patterns == -1).astype(float)
+    start = np.full((k + 1, k), 0.15)  # [kind, rule]: how likely a vote is bad; kind 0 is good
+    start[0] = 0.02
+    start[np.arange(1, k + 1), np.arange(k)] = 0.9
+    says_bad, share = start.copy(), np.array([prior, *[(1 - prior) / k] * k])
+    first = share.copy()
+    post = np.zeros((len(patterns), k + 1))
     for _ in range(rounds):
-        log1 = np.log(share) + good @ np.log(acc[1]) + bad @ np.log(1 - acc[1])
-        log0 = np.log(1 - share) + bad @ np.log(acc[0]) + good @ np.log(1 - acc[0])
-        new = 1 / (1 + np.exp(np.clip(log0 - log1, -700, 700)))
+        log = np.log(share) + bad @ np.log(says_bad).T + good @ np.log(1 - says_bad).T
+        new = np.exp(log - log.max(1, keepdims=True)) if len(log) else log
+        new /= new.sum(1, keepdims=True)
         done = len(new) == 0 or np.abs(new - post).max() < 1e-9
         post = new
-        w1, w0 = counts * post, counts * (1 - post)
-        acc[1] = (w1 @ good + 0.75 * strength) / (w1 @ (good | bad) + strength)
-        acc[0] = (w0 @ bad + 0.75 * strength) / (w0 @ (good | bad) + strength)
-        acc = np.clip(acc, 0.5, 0.999)
-        share = float(np.clip((w1.sum() + prior * strength) / (counts.sum() + strength), 0.05, 0.95))
+        w = counts[:, None] * post
+        says_bad = (w.T @ bad + start * strength) / (w.T @ (good + bad) + strength)
+        says_bad = np.clip(says_bad, 0.001, 0.98)
+        says_bad[0] = np.minimum(says_bad[0], 0.02)
+        own = (np.arange(1, k + 1), np.arange(k))
+        says_bad[own] = np.maximum(says_bad[own], 0.5)
+        share = (w.sum(0) + first * strength) / (counts.sum() + strength)
         if done:
             break
-    return post, {"accuracy_good": acc[1].tolist(), "accuracy_bad": acc[0].tolist(), "share_good": share}
+    return post[:, 0], {"bad_votes_on_good": says_bad[0].tolist(), "bad_votes_on_own_kind": says_bad[own].tolist(), "share_good": float(share[0])}
+
+
+OUTPUTS = ("votes", "base_failed", "quality", "kept")
 
 
-def judge(df: DataFrame, text: str = "text", threshold: float = 0.5, least_words: int = 50, most_repeats: int = 50) -> DataFrame:
-    """df with its measures, votes, base_failed, quality (posterior) and kept."""
-    out = ("votes", "base_failed", "quality", "kept")
+def judge_measured(measured: DataFrame, threshold: float = 0.5, least_words: int = 50, most_repeats: int = 50) -> DataFrame:
+    """A frame that has the measures, with votes, base_failed, quality (posterior) and kept."""
     named = rules()
-    measured = with_measures(df.drop(*[c for c in df.columns if c in out]), text)
-    voted = measured.withColumn("votes", F.concat_ws(",", *[v.cast("string") for v in named.values()]))
+    voted = measured.drop(*[c for c in measured.columns if c in OUTPUTS]).withColumn("votes", F.concat_ws(",", *[v.cast("string") for v in named.values()]))
     # at most 3 ** len(rules) rows, whatever the input
     rows = voted.groupBy("votes").count().collect()
     patterns = np.array([[int(v) for v in r.votes.split(",")] for r in rows], int).reshape(-1, len(named))
     post, _ = fit_votes(patterns, np.array([r["count"] for r in rows], float))
-    by = df.sparkSession.createDataFrame([(r.votes, float(p)) for r, p in zip(rows, post, strict=True)], "votes string, quality double")
+    by = measured.sparkSession.createDataFrame([(r.votes, float(p)) for r, p in zip(rows, post, strict=True)], "votes string, quality double")
     base = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeats)
     return voted.join(F.broadcast(by), "votes", "left").withColumn("base_failed", base).withColumn("kept", ~base & (F.col("quality") >= threshold))
 
 
+def judge(df: DataFrame, text: str = "text", **options) -> DataFrame:
+    """df with its measures and what judge_measured() adds.  Measures are worked out twice, so as not to write texts."""
+    return judge_measured(with_measures(df, text), **options)
+
+
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows that judge() keeps, with df's columns."""
-    return judge(df, text).where("kept").select(*df.columns)
+    own = [f"__{k}" for k in range(len(df.columns))]  # df may have columns named like the measures
+    named = df.toDF(*own)
+    kept = judge(named, own[df.columns.index(text)]).where("kept")
+    return kept.select(*[F.col(a).alias(b) for a, b in zip(own, df.columns, strict=True)])
