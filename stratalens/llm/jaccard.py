@@ -10,9 +10,10 @@ den * |A & B| >= num * |A | B|.  The result is each document's component under l
    others only all but the l - 1 most frequent of their shared hashes are kept: linked sets still share one.
 3. Sets that share a kept hash are blocks.  Tokens are hashed into groups, a set's counts by group are a point, points
    are kept in an R-tree; the sum of the coordinate minima of a point and a node's upper corner bounds the overlap.
-   First, each set goes to one block's centre, where surviving pairs are verified at once and united; so a group of
-   near copies, of any size, costs in proportion to its size.  Then all blocks that still hold two components are
-   joined by R-tree across components, pairs are verified, and components follow from all links.
+   First, each set goes to one block's centre, where surviving pairs are verified at once and united, and again to
+   centres of other components as long as that unites many; so a group of near copies, of any size, costs in
+   proportion to its size.  Then all blocks that still hold two components are joined by R-tree across components,
+   pairs are verified, and components follow from all links.
 
 Blocks over CHUNK sets are cut into chunks (with the centre in each) or joined by pairs of chunks, so no task gets an
 unbounded group.
@@ -38,9 +39,11 @@ from .components import components
 
 CHUNK = 512
 GROUPS = 64
-LEAF = 16
+LEAF = 32
 #: An id list of up to so many rows (16 MB) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rounds of uniting by centres at most; blocks that are mixed after them are joined whole.
+ROUNDS = 4
 
 
 def signature(hashes: np.ndarray) -> int:
@@ -85,6 +88,26 @@ class CountTree:
         return np.concatenate(out) if out else np.empty(0, int)
 
 
+    def join(self, num: int, den: int, skip=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members that may link, by pairs of leaves whose corners' bound allows it.
+
+        skip(members, members): True to pass over a pair of leaves.
+        """
+        leaves = [n for n in self.nodes if n[2] < 0]
+        upper, least = np.stack([n[0] for n in leaves]), np.array([n[1] for n in leaves])
+        for i, (_, _, _, _, a) in enumerate(leaves):
+            bound = np.minimum(upper[i], upper[i:]).sum(1)
+            for j in (np.flatnonzero(bound * (num + den) >= num * (least[i] + least[i:])) + i).tolist():
+                b = leaves[j][4]
+                if skip is not None and skip(a, b):
+                    continue
+                both = np.minimum(self.counts[a][:, None], self.counts[b][None]).sum(2) * (num + den)
+                ok = both >= num * (self.sizes[a][:, None] + self.sizes[b][None])
+                x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
+                if len(x):
+                    yield a[x], b[y]
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """Whether two sorted distinct sets link."""
     if min(len(a), len(b)) * den < num * max(len(a), len(b)) or not len(a):
@@ -95,9 +118,12 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def forest(sets: list[np.ndarray], counts: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join what all links join, found by querying the tree with each set and passing over its own tree."""
+def forest(sets: list[np.ndarray], counts: np.ndarray, comps: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join what all links join beyond the components given; what is joined already is passed over."""
     parent = list(range(len(sets)))
+    first: dict[int, int] = {}
+    for i, c in enumerate(comps):
+        parent[i] = first.setdefault(c, i)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -105,12 +131,14 @@ def forest(sets: list[np.ndarray], counts: np.ndarray, num: int, den: int) -> li
             i = parent[i]
         return i
 
-    sizes = np.array([len(s) for s in sets])
-    tree, links = CountTree(counts, sizes), []
-    for i in range(len(sets)):
-        for j in tree.near(counts[i], int(sizes[i]), num, den, lambda m: all(find(int(x)) == find(i) for x in m)):
-            j = int(j)
-            if j > i and (p := find(i)) != (q := find(j)) and linked(sets[i], sets[j], num, den):
+    def joined(a: np.ndarray, b: np.ndarray) -> bool:
+        root = find(int(a[0]))
+        return all(find(x) == root for x in a.tolist()) and all(find(x) == root for x in b.tolist())
+
+    links = []
+    for a, b in CountTree(counts, np.array([len(s) for s in sets])).join(num, den, joined):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if (p := find(i)) != (q := find(j)) and linked(sets[i], sets[j], num, den):
                 parent[max(p, q)] = min(p, q)
                 links.append((i, j))
     return links
@@ -207,6 +235,17 @@ def _spans(key: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
 
 
+def _leaves(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the groups that fit into one leaf, for all groups of a size at once."""
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    first, size = at[:-1], np.diff(at)
+    for m in range(2, LEAF + 1):
+        starts = first[size == m]
+        if len(starts):
+            i, j = np.triu_indices(m, 1)
+            yield (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
+
+
 def _points(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS)
 
@@ -218,16 +257,16 @@ def _star_links(stars: DataFrame, num: int, den: int) -> DataFrame:
         for whole in _groups(batches):
             a, b = [], []
             key, sig = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            points = _points(whole.column(3))
+            comp, points = whole.column(4).to_numpy(), _points(whole.column(3))
             for i, j in _spans(key):
                 if j - i > 1:
                     sets = [np.frombuffer(x, np.uint64) for x in whole.column(2).slice(i, j - i).to_pylist()]
-                    for x, y in forest(sets, points[i:j], num, den):
+                    for x, y in forest(sets, points[i:j], comp[i:j].tolist(), num, den):
                         a.append(int(sig[i + x]))
                         b.append(int(sig[i + y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return stars.repartition("g").sortWithinPartitions("g").select("g", "sig", "set", "counts").mapInArrow(run, "a long, b long")
+    return stars.repartition("g").sortWithinPartitions("g").select("g", "sig", "set", "counts", "comp").mapInArrow(run, "a long, b long")
 
 
 def _block_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -238,14 +277,22 @@ def _block_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
             a, b = [], []
             key, sig, comp, size, side = (whole.column(k).to_numpy() for k in range(5))
             points = _points(whole.column(5))
+            for x, y in _leaves(key):
+                ok = (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] == 0)) & (np.minimum(size[x], size[y]) * den >= num * np.maximum(size[x], size[y]))
+                x, y = x[ok], y[ok]
+                ok = np.minimum(points[x], points[y]).sum(1) * (num + den) >= num * (size[x] + size[y])
+                a += np.minimum(sig[x[ok]], sig[y[ok]]).tolist()
+                b += np.maximum(sig[x[ok]], sig[y[ok]]).tolist()
             for i, j in _spans(key):
-                tree = CountTree(points[i:j], size[i:j])
-                for x in range(i, j):
-                    found = tree.near(points[x], int(size[x]), num, den, lambda m: (comp[i + m] == comp[x]).all()) + i
-                    # both sides are 0 in a chunk by itself; in a pair of chunks only pairs across count
-                    for y in found[(sig[found] > sig[x]) & (comp[found] != comp[x]) & ((side[found] != side[x]) | (side[x] == 0))].tolist():
-                        a.append(int(sig[x]))
-                        b.append(int(sig[y]))
+                if j - i <= LEAF:
+                    continue
+                # both sides are 0 in a chunk by itself; in a pair of chunks only pairs across count
+                one = lambda m, n, c=comp[i:j], s=side[i:j]: (c[m] == c[m[0]]).all() and (c[n] == c[m[0]]).all() or (s[m[0]] > 0 and (s[m] == s[m[0]]).all() and (s[n] == s[m[0]]).all())
+                for x, y in CountTree(points[i:j], size[i:j]).join(num, den, one):
+                    x, y = x + i, y + i
+                    ok = (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] == 0))
+                    a += np.minimum(sig[x[ok]], sig[y[ok]]).tolist()
+                    b += np.maximum(sig[x[ok]], sig[y[ok]]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return blocks.repartition("g").sortWithinPartitions("g").select("g", "sig", "comp", "size", "side", "counts").mapInArrow(run, "a long, b long")
@@ -261,6 +308,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _stars(centre: DataFrame, sets: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Groups (g) of the sets of each centre, cut into chunks with the centre in each; with components so far."""
+    own = centre.where("sig <> centre")
+    own = _chunked(own, "centre", "star")
+    hubs = own.groupBy("centre").agg(F.first("chunks").alias("chunks")).select("centre", F.col("centre").alias("sig"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    out = own.unionByName(hubs).withColumn("g", F.xxhash64("centre", "chunk")).select("g", "sig").join(sets, "sig")
+    return out.withColumn("comp", F.col("sig")) if comp is None else out.join(comp.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+
+
+def _mixed(blocks: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of blocks that hold two components or more, with their components."""
+    now = blocks.join(comp.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    by = W.partitionBy("key")
+    return now.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo <> hi").select("key", "sig", "comp")
+
+
 def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, part: int = 16) -> DataFrame:
     """(id, n_shingles, component_id) for each row of df: sets link at num / den; part: see slack()."""
     spark = df.sparkSession
@@ -288,17 +351,30 @@ def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text",
     sets = _sets(texts, n).dropDuplicates(["sig"])
     sets = stages.write(sets.join(centre, "sig"), "sets")
 
-    stars = _chunked(sets, "centre", "star")
-    hubs = stars.where("sig = centre").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    stars = stars.where("sig <> centre").unionByName(hubs).withColumn("g", F.xxhash64("centre", "chunk"))
-    links = stages.write(_star_links(stars, num, den), "links")
+    bare = sets.drop("centre")
+    links = stages.write(_star_links(_stars(sets.select("sig", "centre"), bare, None), num, den), "links")
     comp = components(links, stages)
-
-    # blocks of two components or more
-    now = blocks.join(comp.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    by = W.partitionBy("key")
-    mixed = now.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo <> hi").select("key", "sig", "comp")
-    mixed = _chunked(stages.write(mixed, "mixed"), "key", "block")
+    for turn in range(ROUNDS):
+        mixed = stages.write(_mixed(blocks, comp), "mixed")
+        if turn == ROUNDS - 1:
+            break
+        by = W.partitionBy("key")
+        # each set's centre: of its blocks' sets in other components, the first in this turn's order
+        one = F.struct(F.xxhash64(F.lit(turn), "sig").alias("h"), "sig", "comp")
+        ranked = mixed.withColumn("m", F.min(one).over(by)).withColumn("n", F.min(F.when(F.col("comp") != F.col("m.comp"), one)).over(by))
+        to = ranked.withColumn("to", F.when(F.col("comp") != F.col("m.comp"), F.col("m")).otherwise(F.col("n"))).groupBy("sig").agg(F.min("to").alias("to"))
+        turned = stages.write(to.select("sig", F.col("to.sig").alias("centre")), "turned")
+        more = stages.write(_star_links(_stars(turned, bare, comp), num, den), "links")
+        found = more.count()
+        if not found:
+            break
+        links = links.union(more)
+        comp = components(links, stages)
+        if found * 50 < turned.count():
+            mixed = stages.write(_mixed(blocks, comp), "mixed")
+            break
+
+    mixed = _chunked(mixed, "key", "block")
     whole = mixed.where("chunks = 1").withColumn("g", F.xxhash64("key")).withColumn("side", F.lit(0))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cut = mixed.where("chunks > 1").withColumn("o", other)
