@@ -107,13 +107,13 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior
     Documents are good, or bad in one of as many kinds as there are rules, each kind the one that a rule is made for;
     given the kind, rules vote independently, and whether a rule votes at all doesn't depend on the kind.  (With one
     bad class, the commonest kind takes it, and rules for rarer kinds seem worthless.)  Beta priors of `strength` votes
-    start from, and draw to: a bad vote from 0.02 of good documents, 0.9 of the rule's own kind, 0.15 of other kinds.
+    start from, and draw to: a bad vote from 0.01 of good documents, 0.9 of the rule's own kind, 0.1 of other kinds.
     A rule calls 2 in 100 good documents bad at most and sees half of its own kind at least, which fixes the kinds.
     """
     k = patterns.shape[1]
     good, bad = (patterns == 1).astype(float), (patterns == -1).astype(float)
-    start = np.full((k + 1, k), 0.15)  # [kind, rule]: how likely a vote is bad; kind 0 is good
-    start[0] = 0.02
+    start = np.full((k + 1, k), 0.1)  # [kind, rule]: how likely a vote is bad; kind 0 is good
+    start[0] = 0.01
     start[np.arange(1, k + 1), np.arange(k)] = 0.9
     says_bad, share = start.copy(), np.array([prior, *[(1 - prior) / k] * k])
     first = share.copy()
