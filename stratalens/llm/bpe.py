@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,44 +108,76 @@ class Generations(dict):
 RUNS = re.compile(r"\s (?:\s|\Z)")
 
 
-def spaced_chunks(text: str) -> list[str] | None:
-    """Cut before each space; None if a cut could fall into a run of white space.
+class ChunkIds(dict):
+    """Packed ids of the chunk between two spaces, with the space before it (or without, if `space` is empty).
 
-    No match of the pattern goes on from a character that isn't white space into white space, so the chunks'
-    pieces are the text's pieces.
+    No match of the pattern goes on from a character that isn't white space into white space, nor from letters into
+    signs or back, so a chunk's ids are those of its parts: lines, and a word of letters and the signs after it.
+    Chunks but for those of more lines are kept, in two generations of `limit` entries.
     """
-    if RUNS.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *(" " + w for w in rest)]
+
+    def __init__(self, make, space: str, limit: int):
+        super().__init__()
+        self.make, self.space, self.limit, self.old, self.signs = make, space, limit, {}, {}
+        self.line: ChunkIds | None = None if space == "" else ChunkIds(make, "", limit // 8)
+
+    def _tail(self, signs: str) -> bytes:
+        if len(self.signs) > 10_000:
+            self.signs.clear()
+        got = self.signs.get(signs)
+        if got is None:
+            got = self.signs[signs] = self.make(signs)
+        return got
+
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.old.get(chunk)
+        if value is None:
+            if "\n" in chunk:
+                lines = chunk.split("\n")
+                if self.line is not None and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                    end = self._tail("\n")
+                    return end.join([self[lines[0]], *map(self.line.__getitem__, lines[1:])])
+            else:
+                body = chunk.rstrip(string.punctuation)
+                if len(body) < len(chunk) and body.isalpha():
+                    value = self[body] + self._tail(chunk[len(body) :])
+            if value is None:
+                value = self.make(self.space + chunk)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = value
+        return value
+
+    def text(self, text: str) -> bytes | None:
+        """The text's packed ids; None if a cut could fall into a run of white space."""
+        if RUNS.search(text):
+            return None
+        first, *rest = text.split(" ")
+        return self.line[first] + b"".join(map(self.__getitem__, rest)) if first else b"".join(map(self.__getitem__, rest))
 
 
 class BytePairCodec:
     """Encodes each match of the pattern separately, without special tokens; decodes ids to bytes."""
 
-    def __init__(self, rank_path: str, pattern: str, cache: int = 200_000):
+    def __init__(self, rank_path: str, pattern: str, cache: int = 600_000):
         self.ranks = load_ranks(rank_path)
         self.pattern = regex.compile(pattern)
         self.tokens = {v: k for k, v in self.ranks.items()}
-        self.chunks = Generations(self._pack, cache)
+        self.chunks = ChunkIds(self._pack, " ", cache)
 
     def _pack(self, chunk: str) -> bytes:
-        ids: list[int] = []
+        ids = array("i")
         for piece in self.pattern.findall(chunk):
-            ids += merge_piece(piece.encode(), self.ranks)
-        return np.array(ids, "<i4").tobytes()
+            ids.extend(merge_piece(piece.encode(), self.ranks))
+        return ids.tobytes()
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        chunks = spaced_chunks(text)
-        if chunks is None:
-            ids: list[int] = []
-            for piece in self.pattern.findall(text):
-                ids += merge_piece(piece.encode(), self.ranks)
-            return np.array(ids, "<i4").tobytes()
-        return b"".join(map(self.chunks.__getitem__, chunks))
+        packed = self.chunks.text(text)
+        return self._pack(text) if packed is None else packed
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<i4").tolist()

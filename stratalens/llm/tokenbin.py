@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .bpe import Generations, spaced_chunks
+from .bpe import ChunkIds
 from .common import Stages, small_batches
 
 MAGIC = b"WAVEMTX1"
@@ -56,7 +57,7 @@ class WaveletMatrix:
         now = number[tokens] if len(tokens) else np.empty(0, np.uint16)
         planes, zeros = [], []
         for k in range(max(0, len(alphabet) - 1).bit_length() - 1, -1, -1):
-            bit = (now >> k) & 1 == 1
+            bit = (now & now.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             low = now[~bit]
             zeros.append(len(low))
@@ -184,28 +185,28 @@ def store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 class CachedTokenizer:
     """The tokenizers library, asked once for each chunk between spaces.
 
-    A chunk's ids don't depend on its neighbours where no run of white space is cut and no special token's string
-    is in the text; other texts are given to the library whole.
+    See ChunkIds for why a chunk's ids don't depend on its neighbours; texts in which a run of white space would be cut,
+    or with a special token's string, are given to the library whole.
     """
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks = Generations(self._pack, cache)
+        self.chunks = ChunkIds(self._pack, " ", cache)
 
     def _pack(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode_packed(self, text: str | None) -> bytes:
         if not text:
             return b""
-        chunks = spaced_chunks(text)
-        if chunks is None or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return self._pack(text)
-        return b"".join(map(self.chunks.__getitem__, chunks))
+        packed = self.chunks.text(text)
+        return self._pack(text) if packed is None else packed
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
