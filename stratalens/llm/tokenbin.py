@@ -182,6 +182,16 @@ def store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it shows, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class CachedTokenizer:
     """The tokenizers library, asked once for each chunk between spaces.
 
@@ -194,10 +204,16 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        pre = json.loads(self.tokenizer.to_str())
+        #: Whether a word of letters, with a space before it or none, is one piece whose bytes go to the model as they are.
+        self.bare = pre["normalizer"] is None and pre["pre_tokenizer"]["type"] == "ByteLevel" and not pre["pre_tokenizer"]["add_prefix_space"]
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks = ChunkIds(self._pack, " ", cache)
 
     def _pack(self, chunk: str) -> bytes:
+        if self.bare and chunk[chunk[0] == " " :].isalpha():
+            return array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode_packed(self, text: str | None) -> bytes:

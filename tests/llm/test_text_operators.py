@@ -123,13 +123,13 @@ def test_rules_are_weighed_and_junk_goes(spark):
     rng = random.Random(3)
     good = [_prose(rng) for _ in range(80)]
     symbols = [" ".join(w + "***" for w in _prose(rng).split()) for _ in range(8)]
-    shouts = [_prose(rng).upper() for _ in range(4)]
+    shouts = [_prose(rng).upper() for _ in range(12)]
     df = _rows(spark, [*good, *symbols, *shouts, None, "short"]).withColumn("quality", F.lit("label")).withColumn("n_words", F.lit(-1))
     kept = [r.doc_id for r in quality.keep_good(df).orderBy("doc_id").collect()]
     assert kept == list(range(80))
     assert quality.keep_good(df).columns == df.columns
     base = {r.doc_id: r.base_failed for r in quality.judge(df).collect()}
-    assert base[92] and base[93] and not base[0]
+    assert base[100] and base[101] and not base[0]
     assert quality.judge(df.limit(0)).count() == 0
     post, info = quality.fit_votes(np.empty((0, 8)), np.empty(0))
     assert len(post) == 0 and info["share_good"] == pytest.approx(0.8)
