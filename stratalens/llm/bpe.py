@@ -160,7 +160,7 @@ class ChunkIds(dict):
 class BytePairCodec:
     """Encodes each match of the pattern separately, without special tokens; decodes ids to bytes."""
 
-    def __init__(self, rank_path: str, pattern: str, cache: int = 600_000):
+    def __init__(self, rank_path: str, pattern: str, cache: int = 300_000):
         self.ranks = load_ranks(rank_path)
         self.pattern = regex.compile(pattern)
         self.tokens = {v: k for k, v in self.ranks.items()}

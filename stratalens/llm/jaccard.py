@@ -304,17 +304,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    need = checked(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
+    sets = sets.join(need, "sig", "left_semi")
     one, two = sets.select(F.col("sig").alias("a"), F.col("set").alias("sa")), sets.select(F.col("sig").alias("b"), F.col("set").alias("sb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _stars(centre: DataFrame, sets: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Groups (g) of the sets of each centre, cut into chunks with the centre in each; with components so far."""
+def _stars(centre: DataFrame, sets: DataFrame, comp: DataFrame | None, stages: Stages) -> DataFrame:
+    """Groups (g) of the sets of each centre, cut into chunks with the centre in each; with components so far.
+
+    The groups (three numbers a row) meet the sets by broadcast if they are few enough, so sets move once, to their group.
+    """
     own = centre.where("sig <> centre")
     own = _chunked(own, "centre", "star")
     hubs = own.groupBy("centre").agg(F.first("chunks").alias("chunks")).select("centre", F.col("centre").alias("sig"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    out = own.unionByName(hubs).withColumn("g", F.xxhash64("centre", "chunk")).select("g", "sig").join(sets, "sig")
-    return out.withColumn("comp", F.col("sig")) if comp is None else out.join(comp.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    out = own.unionByName(hubs).withColumn("g", F.xxhash64("centre", "chunk")).select("g", "sig")
+    out = out.withColumn("comp", F.col("sig")) if comp is None else out.join(comp.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    return sets.join(checked(stages.write(out, "stars")), "sig")
 
 
 def _mixed(blocks: DataFrame, comp: DataFrame) -> DataFrame:
@@ -349,10 +355,9 @@ def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text",
     wanted = checked(stages.write(wanted.distinct(), "wanted"))
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi")
     sets = _sets(texts, n).dropDuplicates(["sig"])
-    sets = stages.write(sets.join(centre, "sig"), "sets")
+    sets = bare = stages.write(sets.join(checked(centre.select("sig")), "sig", "left_semi"), "sets")
 
-    bare = sets.drop("centre")
-    links = stages.write(_star_links(_stars(sets.select("sig", "centre"), bare, None), num, den), "links")
+    links = stages.write(_star_links(_stars(centre, bare, None, stages), num, den), "links")
     comp = components(links, stages)
     for turn in range(ROUNDS):
         mixed = stages.write(_mixed(blocks, comp), "mixed")
@@ -364,7 +369,7 @@ def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text",
         ranked = mixed.withColumn("m", F.min(one).over(by)).withColumn("n", F.min(F.when(F.col("comp") != F.col("m.comp"), one)).over(by))
         to = ranked.withColumn("to", F.when(F.col("comp") != F.col("m.comp"), F.col("m")).otherwise(F.col("n"))).groupBy("sig").agg(F.min("to").alias("to"))
         turned = stages.write(to.select("sig", F.col("to.sig").alias("centre")), "turned")
-        more = stages.write(_star_links(_stars(turned, bare, comp), num, den), "links")
+        more = stages.write(_star_links(_stars(turned, bare, comp, stages), num, den), "links")
         found = more.count()
         if not found:
             break
