@@ -5,8 +5,8 @@ case) and matched by Aho-Corasick against whole words and word beginnings, each
 rows: the log odds of documents that hold it.  A match within an exception phrase doesn't count.  The summed weight is
 normalised by the text's length, and a logistic curve fitted to the labelled rows turns it into a score.
 
-Learning: features are counted over all labelled rows by grouped aggregation; at most MAX_TERMS enter the lexicon.  The
-curve is fitted on at most FIT_ROWS labelled rows, taken by hash of the id.  Rows with crc32(id) mod 5 = 0 are held out.
+Learning: lexicon and curve are fitted on at most FIT_ROWS labelled rows, taken by hash of the id; features are counted
+by grouped aggregation, and at most MAX_TERMS enter the lexicon.  Rows with crc32(id) mod 5 = 0 are held out.
 
 Edge cases: null and empty texts match nothing and get the score of no match; rows labelled twice count twice; null
 labels are left out; without labels of both classes every score is 0.0; a text of any length is matched whole.
@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .jaccard import checked
 
-MAX_TERMS, FIT_ROWS = 2_000, 50_000
+MAX_TERMS, FIT_ROWS = 2_000, 20_000
 #: Word beginnings of these lengths are candidates for the lexicon.
 SHORTEST, LONGEST = 3, 9
 
@@ -144,18 +145,22 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """The lexicon and the curve, from labelled rows that aren't held out."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(id))).select(F.col(id).alias("__id"), F.col(label).cast("int").alias("__y"))
-    # labels are few beside documents: only their texts meet them
-    rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__t")).join(known, "__id").select("__id", "__t", "__y")
-    n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
+    total = known.count()
+    if total > FIT_ROWS:
+        known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "__id"), F.lit(1 << 20)) < int(FIT_ROWS / total * 0.95 * (1 << 20)))
+    # FIT_ROWS ids or so, but rows may be labelled many times: counted before they are broadcast
+    known = checked(known.groupBy("__id", "__y").count().select("__id", "__y", F.col("count").alias("__n")))
+    rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__t")).join(known, "__id").select("__id", "__t", "__y", "__n")
+    n = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.sum("__n").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return {}, []
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[str, list[int]] = {}
-            for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for t, y, k in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 for f in features(fold(t)):
-                    sums.setdefault(f, [0, 0])[y == 1] += 1
+                    sums.setdefault(f, [0, 0])[y == 1] += k
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v[1] for v in sums.values()], pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64())], names=["f", "a", "b"])
 
     counted = rows.mapInArrow(spread, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -163,9 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     best = counted.where(F.col("a") >= 5).withColumn("o", odds * F.sqrt("a")).where(odds >= 3.0).orderBy(F.desc("o"), "f").limit(4 * MAX_TERMS)
     terms = choose_terms([(r.f, r.a, r.b) for r in best.collect()], n[1], n[0])
 
-    share = FIT_ROWS / max(1, n[0] + n[1])
-    some = rows if share >= 1 else rows.where(F.pmod(F.xxhash64(F.lit("fit"), "__id"), F.lit(1 << 20)) < int(share * 0.95 * (1 << 20)))
-    got = _weighed(some.select("__id", "__t", "__y"), "__t", terms).select("weight", "hits", "words", "__y").limit(FIT_ROWS).collect()
+    got = _weighed(rows.select("__t", "__y"), "__t", terms).select("weight", "hits", "words", "__y").limit(FIT_ROWS).collect()
     x = shape(*(np.array([r[k] for r in got], float) for k in range(3)))
     return terms, fit_curve(x, np.array([r[3] == 1 for r in got], float)).tolist()
 
