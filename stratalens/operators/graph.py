@@ -127,73 +127,73 @@ def _ids(spark, *names: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "id string")
 
 
-# The call graph is thinned for deep traversals, so that distances vary.
-THIN = "line % 37 = 0"
-CONTROL = f"rel_type IN ('CALLS', 'EXECUTES') AND {THIN}"
+ANY = "true"
+CONTROL = "rel_type IN ('CALLS', 'EXECUTES')"
 
 
 def dead_code(spark, sf_dir):
     """2.5-1, 2.5-2: programs that no job reaches over confirmed calls and executions."""
     sure = best_edges(_edges(spark, sf_dir, f"{CONTROL} AND status = 'confirmed'"))
-    jobs = _edges(spark, sf_dir, f"rel_type = 'EXECUTES' AND {THIN}").select(F.col("source_id").alias("id")).distinct()
+    jobs = _edges(spark, sf_dir, "rel_type = 'EXECUTES'").select(F.col("source_id").alias("id")).distinct()
     live = bfs(sure, jobs).select(F.col("id").alias("program_id")).distinct()
     return frame(spark, sf_dir, "SELECT program_id FROM program").join(live, "program_id", "left_anti")
 
 
 def capabilities(spark, sf_dir):
     """2.5-3, 2.5-4: what each job's closure holds."""
-    jobs = _edges(spark, sf_dir, f"rel_type = 'EXECUTES' AND {THIN}").select(F.col("source_id").alias("id")).distinct()
-    reach = bfs(best_edges(_edges(spark, sf_dir, f"({CONTROL} AND status = 'confirmed') OR (rel_type IN ('READS', 'WRITES') AND line % 331 = 0)")), jobs)
+    jobs = _edges(spark, sf_dir, "rel_type = 'EXECUTES'").select(F.col("source_id").alias("id")).distinct()
+    reach = bfs(best_edges(_edges(spark, sf_dir, f"({CONTROL} AND status = 'confirmed') OR (rel_type IN ('READS', 'WRITES'))")), jobs)
     return reach.groupBy("root").agg(F.count_if(F.col("id").startswith("P")).alias("programs"), F.count_if(F.col("id").startswith("T")).alias("tables"), F.max("dist").alias("depth"))
 
 
 def executing_jobs(spark, sf_dir):
-    """2.5-5: jobs that execute a program's callers, however far up."""
-    up = bfs(best_edges(_edges(spark, sf_dir, CONTROL)), frame(spark, sf_dir, "SELECT program_id AS id FROM program WHERE program_id LIKE 'P1%'"), reverse=True)
-    return up.where(F.col("id").startswith("J")).select("root", F.col("id").alias("job_id"), "dist")
+    """2.5-5: jobs that execute a program or its callers, however far up: one walk down from the few jobs."""
+    e = _edges(spark, sf_dir, CONTROL)
+    down = bfs(best_edges(e), e.where("rel_type = 'EXECUTES'").select(F.col("source_id").alias("id")).distinct())
+    return down.where("dist > 0").select(F.col("id").alias("program_id"), F.col("root").alias("job_id"), "dist")
 
 
 def trace_down(spark, sf_dir):
     """2.5-6: the flat trace: programs called within 8 levels, and the data they use as leaves."""
-    reach = bfs(best_edges(_edges(spark, sf_dir, f"rel_type = 'CALLS' AND {THIN}")), _ids(spark, "P1"), depth=8)
-    data = _edges(spark, sf_dir, "rel_type IN ('READS', 'WRITES') AND line % 331 = 0").select(F.col("source_id").alias("id"), "rel_type", F.col("target_id").alias("leaf")).distinct()
+    reach = bfs(best_edges(_edges(spark, sf_dir, "rel_type = 'CALLS'")), _ids(spark, "P1"), depth=8)
+    data = _edges(spark, sf_dir, "rel_type IN ('READS', 'WRITES')").select(F.col("source_id").alias("id"), "rel_type", F.col("target_id").alias("leaf")).distinct()
     return reach.select("id", F.lit("PROGRAM").alias("kind"), "dist").union(reach.join(data, "id").groupBy(F.col("leaf").alias("id")).agg(F.lit("TABLE").alias("kind"), (F.min("dist") + 1).alias("dist")))
 
 
 def blast_radius(spark, sf_dir):
     """2.5-8, 2.5-25: everything that depends on a table, with distance, weakest link and need of review."""
-    up = bfs(best_edges(_edges(spark, sf_dir, THIN)), _ids(spark, "T1"), reverse=True)
+    up = bfs(best_edges(_edges(spark, sf_dir, ANY)), _ids(spark, "T1"), reverse=True)
     return up.where("dist > 0").select("id", "dist", "confidence")
 
 
 def impact(spark, sf_dir):
     """2.5-12: dependents to depth 8, counted by kind and depth."""
-    up = bfs(best_edges(_edges(spark, sf_dir, THIN)), _ids(spark, "T2"), reverse=True, depth=8).where("dist > 0")
+    up = bfs(best_edges(_edges(spark, sf_dir, ANY)), _ids(spark, "T2"), reverse=True, depth=8).where("dist > 0")
     return up.groupBy(F.substring("id", 1, 1).alias("kind"), "dist").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lineage(spark, sf_dir):
     """2.5-13: shortest distances downstream, any edge type."""
-    return bfs(best_edges(_edges(spark, sf_dir, THIN)), _ids(spark, "J1"), depth=6).select("id", "dist")
+    return bfs(best_edges(_edges(spark, sf_dir, ANY)), _ids(spark, "J1"), depth=6).select("id", "dist")
 
 
 def graph_slice(spark, sf_dir):
     """2.5-15 to 2.5-17: a slice of both directions to depth 2 above a confidence, the nearest first, cut at a limit."""
-    e = best_edges(_edges(spark, sf_dir, f"{THIN} AND confidence >= 0.7E0"))
+    e = best_edges(_edges(spark, sf_dir, "confidence >= 0.7E0"))
     both = bfs(e, _ids(spark, "P5"), depth=2).unionByName(bfs(e, _ids(spark, "P5"), reverse=True, depth=2))
     return both.groupBy("id").agg(F.min("dist").alias("dist")).orderBy("dist", "id").limit(100)
 
 
 def expand_neighbors(spark, sf_dir):
     """2.5-20 to 2.5-22: undirected distance to the nearest of several seeds, to 3."""
-    e = best_edges(_edges(spark, sf_dir, f"rel_type = 'CALLS' AND {THIN}"))
+    e = best_edges(_edges(spark, sf_dir, "rel_type = 'CALLS'"))
     flip = e.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "confidence", "review")
     return bfs(e.unionByName(flip), _ids(spark, "P1", "P9"), depth=3).groupBy("id").agg(F.min("dist").alias("dist"))
 
 
 def weak_components(spark, sf_dir):
-    """2.5-14, 2.5-18: components of a sparse call graph, with sizes."""
-    return components(_edges(spark, sf_dir, "rel_type = 'CALLS' AND line % 150 = 0")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    """2.5-14, 2.5-18: components of the call graph, with sizes."""
+    return components(_edges(spark, sf_dir, "rel_type = 'CALLS'")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
 def root_summary(spark, sf_dir):
@@ -211,8 +211,8 @@ def centrality(spark, sf_dir):
 
 
 def call_communities(spark, sf_dir):
-    """2.5-10, 2.5-11: communities of the thinned call graph."""
-    return communities(_edges(spark, sf_dir, f"rel_type = 'CALLS' AND {THIN}"))
+    """2.5-10, 2.5-11: communities of the call graph."""
+    return communities(_edges(spark, sf_dir, "rel_type = 'CALLS'"))
 
 
 def shard_modularity(spark, sf_dir):
@@ -223,7 +223,7 @@ def shard_modularity(spark, sf_dir):
 
 def degree_centrality(spark, sf_dir):
     """2.5-14: degree over n - 1 in the simple digraph, the top 20."""
-    e = _edges(spark, sf_dir, THIN).select("source_id", "target_id").distinct()
+    e = _edges(spark, sf_dir, ANY).select("source_id", "target_id").distinct()
     d = e.select(F.col("source_id").alias("id")).union(e.select("target_id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     n = d.agg(F.count(F.lit(1)).alias("n"))
     return d.crossJoin(F.broadcast(n)).select("id", (F.col("degree") / (F.col("n") - 1)).alias("centrality")).orderBy(F.desc("centrality"), "id").limit(20)
@@ -235,7 +235,7 @@ SCENARIOS = {"rename": 1, "replace": 3, "retire": 5}
 
 def simulate(spark, sf_dir):
     """2.5-23, 2.5-24: scenarios of change on a table, compared by readiness less risk."""
-    up = bfs(best_edges(_edges(spark, sf_dir, THIN)), _ids(spark, "T3"), reverse=True, depth=3).where("dist > 0")
+    up = bfs(best_edges(_edges(spark, sf_dir, ANY)), _ids(spark, "T3"), reverse=True, depth=3).where("dist > 0")
     base = up.agg(F.count(F.lit(1)).alias("dependents"), F.count_if(F.col("confidence") < 1).alias("unsure"))
     plans = spark.createDataFrame(list(SCENARIOS.items()), "scenario string, weight int")
     risk = F.least(F.lit(100), F.col("dependents") * F.col("weight"))
@@ -267,7 +267,7 @@ def _seed(*names: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS root, '{n}' AS id" for n in names)
 
 
-_JOBS = f"SELECT DISTINCT source_id AS root, source_id AS id FROM edge WHERE rel_type = 'EXECUTES' AND {THIN}"
+_JOBS = "SELECT DISTINCT source_id AS root, source_id AS id FROM edge WHERE rel_type = 'EXECUTES'"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -281,14 +281,14 @@ def oracle_sql() -> dict[str, str]:
     flat = "SELECT id, dist FROM reach"
     return {
         "dead_code": _reach(f"{CONTROL} AND status = 'confirmed'", _JOBS, False, 24, "SELECT program_id FROM program WHERE program_id NOT IN (SELECT id FROM reach)"),
-        "executing_jobs": _reach(CONTROL, "SELECT program_id AS root, program_id AS id FROM program WHERE program_id LIKE 'P1%'", True, 24, "SELECT root, id AS job_id, dist FROM reach WHERE id LIKE 'J%'"),
-        "blast_radius": _reach(THIN, _seed("T1"), True, 24, "SELECT id, dist, confidence FROM reach WHERE dist > 0"),
-        "impact": _reach(THIN, _seed("T2"), True, 8, "SELECT substr(id, 1, 1) AS kind, dist, count(*) AS n FROM reach WHERE dist > 0 GROUP BY 1, 2"),
-        "lineage": _reach(THIN, _seed("J1"), False, 6, flat),
+        "executing_jobs": _reach(CONTROL, _JOBS, False, 24, "SELECT id AS program_id, root AS job_id, dist FROM reach WHERE dist > 0"),
+        "blast_radius": _reach(ANY, _seed("T1"), True, 24, "SELECT id, dist, confidence FROM reach WHERE dist > 0"),
+        "impact": _reach(ANY, _seed("T2"), True, 8, "SELECT substr(id, 1, 1) AS kind, dist, count(*) AS n FROM reach WHERE dist > 0 GROUP BY 1, 2"),
+        "lineage": _reach(ANY, _seed("J1"), False, 6, flat),
         "root_summary": _reach(CONTROL, _JOBS, False, 24, "SELECT root, count(*) AS reached, count(*) FILTER (WHERE confidence < 0.5) AS unresolved, least(1.0E0, count(*) FILTER (WHERE confidence < 0.5) * 0.08E0 + count(*) / 3000.0E0) AS risk FROM reach GROUP BY root"),
-        "simulate": _reach(THIN, _seed("T3"), True, 3, "SELECT scenario, CAST(least(100, d * w) AS BIGINT) AS risk, CAST(greatest(0, 100 - u * w) AS BIGINT) AS readiness FROM (VALUES ('rename', 1), ('replace', 3), ('retire', 5)) v(scenario, w), (SELECT count(*) AS d, count(*) FILTER (WHERE confidence < 1) AS u FROM reach WHERE dist > 0) x"),
-        "weak_components": with_("WITH e AS (SELECT source_id AS x, target_id AS y FROM edge WHERE rel_type = 'CALLS' AND line % 150 = 0 UNION SELECT target_id, source_id FROM edge WHERE rel_type = 'CALLS' AND line % 150 = 0), w AS (SELECT x AS id, x AS seen FROM e UNION SELECT w.id, e.y FROM w JOIN e ON e.x = w.seen) SELECT component, count(*) AS n FROM (SELECT id, min(seen) AS component FROM w GROUP BY id) c GROUP BY component", recursive=True),
+        "simulate": _reach(ANY, _seed("T3"), True, 3, "SELECT scenario, CAST(least(100, d * w) AS BIGINT) AS risk, CAST(greatest(0, 100 - u * w) AS BIGINT) AS readiness FROM (VALUES ('rename', 1), ('replace', 3), ('retire', 5)) v(scenario, w), (SELECT count(*) AS d, count(*) FILTER (WHERE confidence < 1) AS u FROM reach WHERE dist > 0) x"),
+        "weak_components": with_("WITH e AS (SELECT source_id AS x, target_id AS y FROM edge WHERE rel_type = 'CALLS' UNION SELECT target_id, source_id FROM edge WHERE rel_type = 'CALLS'), w AS (SELECT x AS id, x AS seen FROM e UNION SELECT w.id, e.y FROM w JOIN e ON e.x = w.seen) SELECT component, count(*) AS n FROM (SELECT id, min(seen) AS component FROM w GROUP BY id) c GROUP BY component", recursive=True),
         "centrality": with_(rank),
-        "degree_centrality": with_(f"WITH e AS (SELECT DISTINCT source_id, target_id FROM edge WHERE {THIN}), d AS (SELECT id, count(*) AS g FROM (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e) x GROUP BY id) SELECT id, CAST(g AS DOUBLE) / ((SELECT count(*) FROM d) - 1) AS centrality FROM d ORDER BY centrality DESC, id LIMIT 20"),
+        "degree_centrality": with_("WITH e AS (SELECT DISTINCT source_id, target_id FROM edge), d AS (SELECT id, count(*) AS g FROM (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e) x GROUP BY id) SELECT id, CAST(g AS DOUBLE) / ((SELECT count(*) FROM d) - 1) AS centrality FROM d ORDER BY centrality DESC, id LIMIT 20"),
         "shard_modularity": with_("WITH w AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, CAST(count(*) AS DOUBLE) AS w FROM edge WHERE rel_type = 'CALLS' GROUP BY 1, 2), l AS (SELECT DISTINCT prog AS id, shard FROM seen), e AS (SELECT x.shard AS ca, y.shard AS cb, w FROM w JOIN l x ON x.id = a JOIN l y ON y.id = b WHERE a <> b), m AS (SELECT sum(w) AS m FROM e), i AS (SELECT ca AS c, sum(w) AS inside FROM e WHERE ca = cb GROUP BY ca), d AS (SELECT c, sum(w) AS d FROM (SELECT ca AS c, w FROM e UNION ALL SELECT cb, w FROM e) z GROUP BY c) SELECT round(sum(coalesce(inside, 0) / m - (d / (2 * m)) * (d / (2 * m))), 9) AS q FROM d LEFT JOIN i ON i.c = d.c, m"),
     }

@@ -161,13 +161,13 @@ def roots_confirmed(d: D):
 
 @q
 def roots_set_algebra(d: D):
-    return "SELECT program_id FROM step UNION SELECT program_id FROM access WHERE rel_type = 'WRITES' EXCEPT SELECT target_id FROM call WHERE event_id % 40 = 0"
+    return "SELECT program_id FROM step UNION SELECT program_id FROM access WHERE rel_type = 'WRITES' EXCEPT SELECT target_id FROM call WHERE source_id = 'P3'"
 
 
 @q
 def root_programs(d: D):
-    return """SELECT p.program_id FROM program p WHERE NOT EXISTS (SELECT 1 FROM call c WHERE c.target_id = p.program_id AND c.event_id % 60 = 0)
-        AND (EXISTS (SELECT 1 FROM step s WHERE s.program_id = p.program_id) OR NOT EXISTS (SELECT 1 FROM edge e WHERE e.target_id = p.program_id AND e.line % 60 = 0))"""
+    return """SELECT p.program_id FROM program p WHERE NOT EXISTS (SELECT 1 FROM call c WHERE c.target_id = p.program_id AND c.source_id = 'P3')
+        AND (EXISTS (SELECT 1 FROM step s WHERE s.program_id = p.program_id) OR NOT EXISTS (SELECT 1 FROM edge e WHERE e.target_id = p.program_id))"""
 
 
 # 2.4-10: degrees
@@ -256,13 +256,13 @@ def latest_runs(d: D):
 @q
 def runtime_correlate(d: D):
     return """SELECT coalesce(p.program_id, r.entity_id) AS entity_id, p.program_id IS NOT NULL AS in_static, r.exec_count, CASE WHEN p.program_id IS NULL THEN 'runtime_only' WHEN r.entity_id IS NULL THEN 'unknown' WHEN r.exec_count > 0 THEN 'active' ELSE 'idle' END AS status,
-        CASE WHEN r.entity_id IS NULL THEN 0.5E0 ELSE 0.95E0 END AS confidence FROM (SELECT program_id FROM program WHERE program_id NOT LIKE '%8') p FULL OUTER JOIN runtime r ON r.entity_id = p.program_id"""
+        CASE WHEN r.entity_id IS NULL THEN 0.5E0 ELSE 0.95E0 END AS confidence FROM (SELECT concat('P', CAST(c_custkey AS STRING)) AS program_id FROM customer WHERE c_acctbal > 0) p FULL OUTER JOIN runtime r ON r.entity_id = p.program_id"""
 
 
 @q
 def runtime_reconcile(d: D):
     return """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN c.target_id IS NULL AND r.exec_count > 0 THEN 'dead_but_executed' WHEN c.target_id IS NOT NULL AND r.entity_id IS NULL THEN 'called_not_seen' WHEN r.entity_id IS NULL THEN 'unknown' ELSE 'agrees' END AS bucket
-        FROM program p LEFT JOIN runtime r ON r.entity_id = p.program_id LEFT JOIN (SELECT DISTINCT target_id FROM call WHERE event_id % 11 = 0) c ON c.target_id = p.program_id) x GROUP BY bucket"""
+        FROM program p LEFT JOIN runtime r ON r.entity_id = p.program_id LEFT JOIN (SELECT DISTINCT target_id FROM call WHERE source_id = 'P3') c ON c.target_id = p.program_id) x GROUP BY bucket"""
 
 
 # 2.4-26, 2.4-27: criticality and most depended on
@@ -287,8 +287,8 @@ def unconfirmed_edges(d: D):
 @q
 def coupling(d: D):
     return """SELECT a, b, sum(w) AS weight FROM (
-        SELECT x.program_id AS a, y.program_id AS b, 1 AS w FROM (SELECT DISTINCT program_id, tab FROM access WHERE event_id % 13 = 0) x JOIN (SELECT DISTINCT program_id, tab FROM access WHERE event_id % 13 = 0) y ON y.tab = x.tab AND x.program_id < y.program_id
-        UNION ALL SELECT least(source_id, target_id), greatest(source_id, target_id), 2 FROM (SELECT DISTINCT source_id, target_id FROM call WHERE event_id % 13 = 0) c) z GROUP BY a, b"""
+        SELECT x.program_id AS a, y.program_id AS b, 1 AS w FROM (SELECT DISTINCT program_id, tab FROM access) x JOIN (SELECT DISTINCT program_id, tab FROM access) y ON y.tab = x.tab AND x.program_id < y.program_id
+        UNION ALL SELECT least(source_id, target_id), greatest(source_id, target_id), 2 FROM (SELECT DISTINCT source_id, target_id FROM call) c) z GROUP BY a, b"""
 
 
 # 2.4-30: service candidates: cohesion and coupling of communities (here: shards)
@@ -301,8 +301,8 @@ def service_metrics(d: D):
 # 2.4-31: event discovery: producers and consumers of what is written
 @q
 def event_discovery(d: D):
-    return f"""SELECT w.event_name, w.tab, count(DISTINCT w.program_id) AS producers, {d.joined('r.program_id')} AS consumers FROM (SELECT DISTINCT concat(tab, 'Written') AS event_name, tab, program_id FROM access WHERE rel_type = 'WRITES' AND event_id % 5 = 0) w
-        LEFT JOIN (SELECT DISTINCT tab, program_id FROM access WHERE rel_type = 'READS' AND event_id % 29 = 0) r ON r.tab = w.tab GROUP BY w.event_name, w.tab"""
+    return f"""SELECT w.event_name, w.tab, count(DISTINCT w.program_id) AS producers, {d.joined('r.program_id')} AS consumers FROM (SELECT DISTINCT concat(tab, 'Written') AS event_name, tab, program_id FROM access WHERE rel_type = 'WRITES') w
+        LEFT JOIN (SELECT DISTINCT tab, program_id FROM access WHERE rel_type = 'READS') r ON r.tab = w.tab GROUP BY w.event_name, w.tab"""
 
 
 # 2.4-32: domain discovery: weighted votes of name tokens
@@ -314,7 +314,7 @@ def domain_tokens(d: D):
 # 2.4-33, 2.4-35: rules by kind, and their coverage
 @q
 def rule_catalog(d: D):
-    return f"SELECT event_type AS rule_kind, tab AS rule_id, count(DISTINCT prog) AS programs, {d.joined('prog')} AS implemented_by FROM seen WHERE event_id % 31 = 0 GROUP BY event_type, tab"
+    return f"SELECT event_type AS rule_kind, tab AS rule_id, count(DISTINCT prog) AS programs, {d.joined('prog')} AS implemented_by FROM seen GROUP BY event_type, tab"
 
 
 @q
@@ -390,8 +390,8 @@ def glossary_freshness(d: D):
 # 2.4-44: corrections: the newest that matches wins; SUPPRESS removes
 @q
 def apply_corrections(d: D):
-    return """SELECT a.asset_id, coalesce(c.new_name, a.name) AS name FROM asset a LEFT JOIN (SELECT n_name, max_by(concat('RENAMED ', n_name), n_nationkey) AS new_name FROM nation WHERE n_nationkey % 4 = 0 GROUP BY n_name) c ON c.n_name = a.name
-        WHERE a.asset_type = 'NATION' AND NOT EXISTS (SELECT 1 FROM nation s WHERE s.n_nationkey % 6 = 5 AND s.n_name = a.name)"""
+    return """SELECT a.asset_id, coalesce(c.new_name, a.name) AS name FROM asset a LEFT JOIN (SELECT n_name, max_by(concat('RENAMED ', n_name), n_nationkey) AS new_name FROM nation WHERE n_regionkey = 1 GROUP BY n_name) c ON c.n_name = a.name
+        WHERE a.asset_type = 'NATION' AND NOT EXISTS (SELECT 1 FROM nation s WHERE s.n_regionkey = 3 AND s.n_name = a.name)"""
 
 
 # 1.3, 2.2-2, 2.4-45: identity merge, last wins; evidence counted

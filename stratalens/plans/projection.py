@@ -24,17 +24,17 @@ CTES = {
         UNION ALL SELECT concat('ORDER:', CAST(l_orderkey AS STRING)), 'USES', concat('SUPPLIER:', CAST(l_suppkey AS STRING)), CASE l_returnflag WHEN 'R' THEN 1.0E0 WHEN 'A' THEN 0.7E0 ELSE 0.3E0 END, CASE l_returnflag WHEN 'R' THEN 'confirmed' WHEN 'A' THEN 'inferred' ELSE 'needs_review' END, l_linenumber FROM lineitem""",
     # users are programs; one user's event after another's is a call
     "seen": "SELECT event_id, ts, event_type, concat('P', CAST(user_id AS STRING)) AS prog, value, concat('T', regexp_extract(props, '([0-9]+)', 1)) AS tab, date_trunc('hour', ts) AS h, user_id % 5 AS shard FROM events",
-    "call": "SELECT source_id, target_id, confidence, status, event_id FROM (SELECT lag(prog) OVER (PARTITION BY h ORDER BY ts, event_id) AS source_id, prog AS target_id, event_id, CASE WHEN event_type = 'click' THEN 1.0E0 WHEN event_type = 'error' THEN 0.3E0 ELSE 0.7E0 END AS confidence, CASE WHEN event_type = 'click' THEN 'confirmed' WHEN event_type = 'error' THEN 'needs_review' ELSE 'inferred' END AS status FROM seen) x WHERE source_id IS NOT NULL AND source_id <> target_id AND event_id % 3 = 0",
+    "call": "SELECT source_id, target_id, confidence, status, event_id FROM (SELECT lag(prog) OVER (PARTITION BY h ORDER BY ts, event_id) AS source_id, prog AS target_id, event_id, CASE WHEN event_type = 'click' THEN 1.0E0 WHEN event_type = 'error' THEN 0.3E0 ELSE 0.7E0 END AS confidence, CASE WHEN event_type = 'click' THEN 'confirmed' WHEN event_type = 'error' THEN 'needs_review' ELSE 'inferred' END AS status FROM seen) x WHERE source_id IS NOT NULL AND source_id <> target_id",
     "program": "SELECT DISTINCT prog AS program_id FROM seen",
-    "step": "SELECT concat('J', CAST(CAST(event_id % 12 AS INTEGER) AS STRING)) AS job_id, prog AS program_id, event_id AS step_order FROM seen WHERE event_type = 'signup' AND event_id % 7 = 0",
+    "step": "SELECT concat('J', CAST(CAST(event_id % 12 AS INTEGER) AS STRING)) AS job_id, prog AS program_id, event_id AS step_order FROM seen WHERE event_type = 'signup'",
     "access": "SELECT prog AS program_id, CASE WHEN event_type = 'purchase' THEN 'WRITES' ELSE 'READS' END AS rel_type, tab, event_id FROM seen WHERE event_type IN ('purchase', 'click')",
     "edge": """
         SELECT source_id, 'CALLS' AS rel_type, target_id, confidence, status, event_id AS line FROM call
         UNION ALL SELECT job_id, 'EXECUTES', program_id, 1.0E0, 'confirmed', step_order FROM step
         UNION ALL SELECT program_id, rel_type, tab, 1.0E0, 'confirmed', event_id FROM access""",
-    "runtime": "SELECT concat('P', CAST(user_id AS STRING)) AS entity_id, count(*) AS exec_count, max(ts) AS last_run FROM events WHERE user_id % 4 <> 1 GROUP BY 1",
-    "older": "SELECT doc_id, substr(sha1(text), 1, 12) AS sha FROM documents WHERE doc_id % 10 <> 3",
-    "newer": "SELECT doc_id, substr(sha1(CASE WHEN doc_id % 17 = 0 THEN concat(text, '!') ELSE text END), 1, 12) AS sha FROM documents WHERE doc_id % 10 <> 7",
+    "runtime": "SELECT concat('P', CAST(user_id AS STRING)) AS entity_id, count(*) AS exec_count, max(ts) AS last_run FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1",
+    "older": "SELECT doc_id, substr(sha1(text), 1, 12) AS sha FROM documents WHERE source <> 'src3'",
+    "newer": "SELECT doc_id, substr(sha1(CASE WHEN lang = 'es' THEN concat(text, '!') ELSE text END), 1, 12) AS sha FROM documents WHERE source <> 'src7'",
 }
 _NEEDS = {k: [n for n in CTES if n != k and re.search(rf"(?:FROM|JOIN)\s+{n}\b", sql)] for k, sql in CTES.items()}
 
