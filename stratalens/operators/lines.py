@@ -89,6 +89,22 @@ def sql_facts(members: DataFrame) -> DataFrame:
     return each.select("path", "line", "source", "f.rel_type", F.lit("table").alias("target_type"), "f.target", F.lit(1.0).alias("confidence"), F.lit("confirmed").alias("status"))
 
 
+# What statements on cursors do, and their confidence.
+CURSOR_ACTS = [("OPENS", r"(?i)^\s*OPEN\s+([A-Z0-9_-]+)", 0.82), ("FETCHES", r"(?i)^\s*FETCH\s+(?:NEXT\s+)?(?:FROM\s+)?([A-Z0-9_-]+)", 0.84), ("CLOSES", r"(?i)^\s*CLOSE\s+([A-Z0-9_-]+)", 0.82)]
+
+
+def cursor_facts(members: DataFrame) -> DataFrame:
+    """Cursors that programs declare, open, fetch and close, and the tables that each reads."""
+    b = F.col("body")
+    declared = F.upper(F.regexp_extract(b, r"(?i)\bDECLARE\s+([A-Z0-9_-]+)\s+(?:\w+\s+)*?CURSOR\b", 1))
+    fact = lambda source, rel, kind, target, c: F.struct(source.alias("source"), F.lit(rel).alias("rel_type"), F.lit(kind).alias("target_type"), target.alias("target"), F.lit(c).alias("confidence"))
+    own = F.col("own")
+    reads = F.transform(F.array_distinct(F.regexp_extract_all(F.upper(b), F.lit(r"\b(?:FROM|JOIN)\s+([A-Z0-9_.]+)"), 1)), lambda t: fact(declared, "CURSOR_READS", "table", t, 0.9))
+    acts = [F.when(b.rlike(rx), fact(own, rel, "cursor", F.upper(F.regexp_extract(b, rx, 1)), c)) for rel, rx, c in CURSOR_ACTS]
+    all_of = F.when(declared != "", F.concat(F.array(fact(own, "DECLARES_CURSOR", "cursor", declared, 0.9)), reads)).otherwise(F.array_compact(F.array(*acts)))
+    return blocks(members, "SQL").select("path", "line", F.explode(all_of).alias("f")).select("path", "line", "f.*").withColumn("status", status(F.col("confidence")))
+
+
 def sql_lineage(members: DataFrame) -> DataFrame:
     """(path, line, source, target, kind): host variables and the columns that they meet, by place or by assignment."""
     b = F.col("body")

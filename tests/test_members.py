@@ -87,6 +87,13 @@ def test_sql_and_commands(spark):
     assert {(r.rel_type, r.target, r.confidence) for r in lines.cics_facts(m).collect()} == {("CALLS", "WS-PGM", 0.3), ("WRITES", "Q1", 1.0)}
 
 
+def test_cursors(spark):
+    sql = ["DECLARE CUR1 CURSOR FOR SELECT A FROM T1 JOIN T2 ON X = Y", "OPEN CUR1", "FETCH CUR1 INTO :H1", "CLOSE CUR1", "COMMIT"]
+    m = frame(spark, c="PROGRAM-ID. CP.\n" + "\n".join(f"    EXEC SQL {s} END-EXEC." for s in sql), none=None)
+    got = {(r.source, r.rel_type, r.target, r.line) for r in lines.cursor_facts(m).collect()}
+    assert got == {("CP", "DECLARES_CURSOR", "CUR1", 2), ("CUR1", "CURSOR_READS", "T1", 2), ("CUR1", "CURSOR_READS", "T2", 2), ("CP", "OPENS", "CUR1", 3), ("CP", "FETCHES", "CUR1", 4), ("CP", "CLOSES", "CUR1", 5)}
+
+
 def test_csd_and_lines(spark):
     csd = frame(spark, c="* x\nDEFINE TRANSACTION(AB01) GROUP(G)\n  PROGRAM(AUTH)\nDEFINE PROGRAM(AUTH)\nDEFINE TRANSACTION(NOP)")
     assert [(r.source, r.target, r.line) for r in lines.csd_facts(csd).collect()] == [("AB01", "AUTH", 2)]
