@@ -335,11 +335,14 @@ def capability_data(d: D):
     return f"SELECT program_id, count(DISTINCT tab) AS tables, {d.joined('rel_type', '/')} AS access FROM access GROUP BY program_id"
 
 
-# 2.4-37: capability score: words that begin with a key word, or the other way
+# 2.4-37: capability score: words that begin with a key word, or the other way; distinct words and key words meet by
+# equal prefixes (key words have four letters at most)
 @q
 def capability_score(d: D):
-    return f"""SELECT asset_id, least(count(DISTINCT k) * 10, 100) AS score FROM (SELECT asset_id, w, k FROM (SELECT asset_id, w FROM asset, {d.words('name')} WHERE asset_type = 'PART' AND length(w) > 2) a
-        JOIN (SELECT DISTINCT lower(p_brand) AS brand, lower(substr(p_name, 1, 4)) AS k FROM part WHERE p_partkey <= 20) b ON w LIKE concat(k, '%') OR k LIKE concat(w, '%')) x GROUP BY asset_id"""
+    return f"""WITH word AS (SELECT DISTINCT asset_id, w FROM asset, {d.words('name')} WHERE asset_type = 'PART' AND length(w) > 2), keyword AS (SELECT DISTINCT lower(substr(p_name, 1, 4)) AS k FROM part),
+        hit AS (SELECT x.w, b.k FROM (SELECT DISTINCT w, substr(w, 1, n) AS head FROM word CROSS JOIN (VALUES (0), (1), (2), (3), (4)) t(n)) x JOIN keyword b ON b.k = x.head
+        UNION SELECT x.w, b.k FROM (SELECT DISTINCT w FROM word) x JOIN (SELECT DISTINCT k, substr(k, 1, n) AS head FROM keyword CROSS JOIN (VALUES (3), (4)) t(n)) b ON b.head = x.w)
+        SELECT a.asset_id, least(count(DISTINCT h.k) * 10, 100) AS score FROM word a JOIN hit h ON h.w = a.w GROUP BY a.asset_id"""
 
 
 # 2.4-38, 2.6: the best per key, the first on ties, and its margin over the next
@@ -411,7 +414,7 @@ def coverage_report(d: D):
 # 2.4-48: set-valued signals by owner
 @q
 def codebase_profile(d: D):
-    return f"SELECT prog AS program_id, {d.joined(chr(39).join(['CASE WHEN event_type = ', 'purchase', ' THEN tab END']))} AS written, count(*) FILTER (WHERE event_type = 'click') AS n_reads, count(*) FILTER (WHERE event_type = 'purchase') AS n_writes FROM seen WHERE event_id % 3 = 1 GROUP BY prog"
+    return f"SELECT prog AS program_id, {d.joined(chr(39).join(['CASE WHEN event_type = ', 'purchase', ' THEN tab END']))} AS written, count(*) FILTER (WHERE event_type = 'click') AS n_reads, count(*) FILTER (WHERE event_type = 'purchase') AS n_writes FROM seen GROUP BY prog"
 
 
 # 2.4-49, 2.4-50: cluster confidence; the best root of a component by weighted degree
