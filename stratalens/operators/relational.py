@@ -161,12 +161,12 @@ def roots_confirmed(d: D):
 
 @q
 def roots_set_algebra(d: D):
-    return "SELECT program_id FROM step UNION SELECT program_id FROM access WHERE rel_type = 'WRITES' EXCEPT SELECT target_id FROM call WHERE source_id = 'P3'"
+    return "SELECT program_id FROM step UNION SELECT program_id FROM access WHERE rel_type = 'WRITES' EXCEPT SELECT target_id FROM call"
 
 
 @q
 def root_programs(d: D):
-    return """SELECT p.program_id FROM program p WHERE NOT EXISTS (SELECT 1 FROM call c WHERE c.target_id = p.program_id AND c.source_id = 'P3')
+    return """SELECT p.program_id FROM program p WHERE NOT EXISTS (SELECT 1 FROM call c WHERE c.target_id = p.program_id)
         AND (EXISTS (SELECT 1 FROM step s WHERE s.program_id = p.program_id) OR NOT EXISTS (SELECT 1 FROM edge e WHERE e.target_id = p.program_id))"""
 
 
@@ -262,7 +262,7 @@ def runtime_correlate(d: D):
 @q
 def runtime_reconcile(d: D):
     return """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN c.target_id IS NULL AND r.exec_count > 0 THEN 'dead_but_executed' WHEN c.target_id IS NOT NULL AND r.entity_id IS NULL THEN 'called_not_seen' WHEN r.entity_id IS NULL THEN 'unknown' ELSE 'agrees' END AS bucket
-        FROM program p LEFT JOIN runtime r ON r.entity_id = p.program_id LEFT JOIN (SELECT DISTINCT target_id FROM call WHERE source_id = 'P3') c ON c.target_id = p.program_id) x GROUP BY bucket"""
+        FROM program p LEFT JOIN runtime r ON r.entity_id = p.program_id LEFT JOIN (SELECT DISTINCT target_id FROM call) c ON c.target_id = p.program_id) x GROUP BY bucket"""
 
 
 # 2.4-26, 2.4-27: criticality and most depended on

@@ -42,3 +42,14 @@ def test_capability_score_takes_key_words_of_every_part(spark, estate):
     got = {r.asset_id: r.score for r in relational.queries()["capability_score"](spark, folder).collect()}
     # key words blue, zinc, bol and bold; bolts begins with bol alone, bol itself begins bold too, bold begins with both
     assert got == {"PART:1": 10, "PART:900": 20, "PART:901": 10, "PART:902": 20, "PART:903": 20}
+
+
+def test_roots_are_called_by_no_program_at_all(spark, estate):
+    # P9 calls P2 within the hour, P5 is alone in its own, P9 comes first; P7 is called by P9 and by no P3
+    folder = estate([(9, "signup", 0, 1), (2, "signup", 1, 1), (9, "view", 2, 1), (7, "purchase", 3, 1), (5, "signup", 7200, 1), (8, "purchase", 14400, 1)])
+    found = lambda name: {r.program_id for r in relational.queries()[name](spark, folder).collect()}
+    assert found("roots_set_algebra") == {"P5", "P8"}
+    assert found("root_programs") == {"P5", "P8"}
+    got = {r.bucket: r.n for r in relational.queries()["runtime_reconcile"](spark, folder).collect()}
+    # P9 and P7 are called and seen; P2 is called and not seen; P8 is seen and has no caller; P5 is neither
+    assert got == {"agrees": 2, "called_not_seen": 1, "dead_but_executed": 1, "unknown": 1}
