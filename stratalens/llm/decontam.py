@@ -8,8 +8,10 @@ with Myers' bit-parallel algorithm.  Texts and items are compared in lower case
 Items are handed to tasks in blocks of bounded size (BLOCK_CHARS); more items make more passes over the documents, not
 larger automata.
 
-Edge cases: null or empty texts leak nothing; items under `shortest` characters after folding are left out, since so
-short a string says nothing; equal items are each reported; repeated documents each report; an empty table on either
+Items under `shortest` characters after folding are found by the same automaton, whole and without edits, where they
+begin and end at word boundaries: a few edits would turn so short a string into another one.
+
+Edge cases: null or empty texts and items leak nothing; equal items are each reported; repeated documents each report; an empty table on either
 side gives an empty result.
 """
 
@@ -44,6 +46,11 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def within_word(a: str, b: str) -> bool:
+    """Whether a word goes on from character a to b.  Scripts that put no spaces between words have a boundary anywhere."""
+    return all(c.isalnum() and not ("\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or c >= "\u2e80") for c in (a, b))
+
+
 def myers_best(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     """The least edit distance of a pattern of length m to any substring of text, and where the first such one ends."""
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -75,7 +82,11 @@ class EditMatcher:
         found: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
             t = fold(text)
+            if not t:
+                continue
             if len(t) < shortest:
+                found.setdefault(t, []).append((len(self.items), 0))
+                self.items.append((item, len(t), 0, None))
                 continue
             k = budget(len(t), percent, least)
             masks: dict[str, int] = {}
@@ -101,6 +112,10 @@ class EditMatcher:
             for x, at in where:
                 start = end + 1 - length - at
                 item, m, k, masks = self.items[x]
+                if masks is None:
+                    if x not in best and not (start and within_word(t[start - 1], t[start])) and not (end + 1 < len(t) and within_word(t[end], t[end + 1])):
+                        best[x] = (0, end + 1)
+                    continue
                 if best.get(x, (1, 0))[0] == 0 or any(abs(start - s) <= k // 2 for s in tried.get(x, ())):
                     continue
                 tried.setdefault(x, []).append(start)
