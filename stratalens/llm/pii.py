@@ -3,7 +3,8 @@
 Found values are validated, and their characters are permuted within their own format by a keyed Feistel network, so
 that equal values become equal pseudonyms in all documents and texts keep their shape:
 
-  card    13 to 19 digits in groups, Luhn number right; the last digit is made right again
+  card    13 to 19 digits in groups, Luhn number right; the last digit is made right again.  Of a run of groups, any
+          whole groups together may be the card: one group by itself or four of four before others, else from the left
   iban    country code, letters and digits, remainder 1 modulo 97; the two check digits are made right again
   phone   digits with + or brackets or separators; country code kept, digits of the rest permuted
   ssn     ddd-dd-dddd with possible groups
@@ -11,7 +12,9 @@ that equal values become equal pseudonyms in all documents and texts keep their
   date    a real day from 1801 to 2200, y-m-d or d.m.y or m/d/y (d/m/y where only that is a day); the 146,097 days
           of these 400 years are permuted exactly
   email   letters and digits of the local part and of the domain's names before the last
-  secret  hexadecimal strings of 32 to 64 with a digit and a letter, and values after key words such as token
+  secret  hexadecimal strings of 32 to 64 with a digit and a letter, in small or capital letters; and, after key words
+          such as token and = or :, values of 8 to 256 characters with a digit and a letter (letters and digits are
+          permuted, signs and capitals kept)
 
 Values that fail validation (a 16-digit number with a wrong Luhn digit, 999.1.1.1) stay as they are.
 
@@ -32,14 +35,18 @@ ROUNDS = 8
 
 # The formats looked for.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
+WORD = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|credentials?)[\"']?\s{0,3}(?:=>|[:=])\s{0,3}[\"']?(?:(?i:bearer|basic)\s)?"
+KEYED = WORD + r"(?=[A-Za-z0-9_~+/.=-]{0,255}[0-9])(?=[A-Za-z0-9_~+/.=-]{0,255}[A-Za-z])[A-Za-z0-9_~+/=-](?:[A-Za-z0-9_~+/=-]|\.(?=[A-Za-z0-9_~+/=-])){7,255}+(?![A-Za-z0-9@_~+/=-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9A-Za-z.+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|(?<=\+[0-9 ]{2,4})[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9])"
-ANY = "|".join((EMAIL, SECRET, IBAN, DATE, IP, SSN, CARD, PHONE))
+#: A run of groups of digits, as far as it goes: other values end it where they begin.
+LOCAL = r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+CARD = rf"(?<![0-9])(?!{LOCAL})[0-9](?:(?:[ -](?!{LOCAL}|{EMAIL}|{SECRET}|{DATE}|{IP}|{SSN}))?[0-9]){{12,}}+(?![0-9])"
+ANY = "|".join((EMAIL, KEYED, SECRET, IBAN, DATE, IP, SSN, CARD, PHONE))
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -243,9 +250,14 @@ def _new_ssn(m: Column, key: str) -> Column:
 
 
 def _new_secret(m: Column, key: str) -> Column:
-    """Hexadecimal digits; over 40, in two parts."""
-    head = feistel(F.substring(m, 1, 40), HEX, key, "secret")
-    return F.when(F.length(m) <= 40, head).otherwise(F.concat(head, feistel(F.substring(m, F.lit(41), F.length(m)), HEX, key, "secret")))
+    """Hexadecimal digits (over 40, in two parts), equal for small and capital letters; other secrets by letters and digits."""
+
+    def hexed(h: Column) -> Column:
+        head = feistel(F.substring(h, 1, 40), HEX, key, "secret")
+        return F.when(F.length(h) <= 40, head).otherwise(F.concat(head, feistel(F.substring(h, F.lit(41), F.length(h)), HEX, key, "secret")))
+
+    small = m.rlike("^[0-9a-f]{32,64}$")
+    return F.when(small, let(m, hexed)).when(m.rlike("^[0-9A-F]{32,64}$"), F.upper(let(F.lower(m), hexed))).otherwise(_letters(m, key, "secret"))
 
 
 def kind_of(m: Column, digits: Column) -> Column:
@@ -253,17 +265,74 @@ def kind_of(m: Column, digits: Column) -> Column:
     bare = F.length(digits) == F.length(m)
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike("^[0-9a-f]{32,64}$") & m.rlike("[0-9]") & m.rlike("[a-f]"), "secret")
+        .when(m.rlike("^[0-9A-Fa-f]{32,64}$") & m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "secret")
         .when(m.rlike("^[A-Z]{2}"), F.when((F.length(_only(m, " ")).between(15, 34)) & (iban_rest(_only(m, " ")) == 1), "iban").otherwise(""))
         .when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})$"), F.when(_day(m).isNotNull(), "date").otherwise(""))
         .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), F.when(F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255), "ip").otherwise(""))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~m.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn").otherwise(""))
-        .when(m.rlike(r"^[0-9](?:[ -]?[0-9]){12,18}$") & (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^(.)\\1*$"), "card")
+        .when(F.length(digits).between(13, 19) & m.rlike(RUN) & card_number(digits), "card")
         .when(~bare & F.length(digits).between(8, 15) & (m.startswith("+") | m.contains("(") | m.rlike(r"^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")), "phone")
         .otherwise("")
     )
 
 
+def card_number(digits: Column) -> Column:
+    return (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^(.)\\1*$")
+
+
+def _cards(m: Column) -> Column:
+    """The segments of a run of groups: its cards, and what is between.  One pass from the left, in proportion to the run."""
+    groups = F.split(m, "(?<=[0-9])(?=[ -])")  # each with the separator before it
+
+    def bound(g: Column) -> Column:
+        n = F.size(g)
+        text = lambda i, j: F.array_join(F.slice(g, i, F.greatest(j - i + 1, F.lit(0))), "")
+        digits = lambda i, j: _only(text(i, j), "[^0-9]")
+        valid = lambda d: F.length(d).between(13, 19) & card_number(d)
+        each = F.sequence(F.lit(1), n)
+
+        def usual(i: Column) -> Column:
+            """Where the card ends that is group i by itself or four groups of four from i; 0 if there is none."""
+            four = (i + 3 <= n) & F.regexp_replace(text(i, i + 3), "^[ -]", "").rlike("^[0-9]{4}(?:[ -][0-9]{4}){3}$")
+            return F.when(let(digits(i, i), valid), i).when(four & let(digits(i, i + 3), valid), i + 3).otherwise(F.lit(0))
+
+        def picks(own: Column) -> Column:
+            def end(i: Column) -> Column:
+                ok = lambda j: ((own[i - 1] == j) | ~F.exists(F.slice(own, i + 1, j - i), lambda k: k > 0)) & let(digits(i, j), valid)
+                return F.when(own[i - 1] == i, i).otherwise(F.coalesce(F.array_max(F.filter(F.sequence(i, F.least(n, i + 18)), ok)), F.lit(0)))
+
+            def turn(s: Column, i: Column) -> Column:
+                more = lambda j: F.when(j == 0, s).otherwise(F.struct((j + 1).alias("free"), F.concat(s["got"], F.array(F.struct(i.alias("i"), j.alias("j"), s["free"].alias("from")))).alias("got")))
+                return F.when(i < s["free"], s).otherwise(let(end(i), more))
+
+            start = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<i:int,j:int,from:int>>").alias("got"))
+            return F.aggregate(each, start, turn)
+
+        def segments(s: Column) -> Column:
+            one = lambda t: F.array(_segment("", F.concat(text(t["from"], t["i"] - 1), F.regexp_extract(g[t["i"] - 1], "^[ -]?", 0))), _segment("card", F.regexp_replace(text(t["i"], t["j"]), "^[ -]", "")))
+            return F.concat(F.flatten(F.transform(s["got"], one)), F.array(_segment("", text(s["free"], n))))
+
+        return let(let(F.transform(each, usual), picks), segments)
+
+    return let(groups, bound)
+
+
+def _segment(kind, value: Column) -> Column:
+    return F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), value.alias("value"))
+
+
+RUN = r"^[0-9](?:[ -]?[0-9]){12,}+$"
+
+
+def segments_of(m: Column) -> Column:
+    """What a match is made of, in order: values with their kinds, and the rest with an empty kind."""
+    word = F.regexp_extract(m, "^" + WORD, 0)
+    whole = let(_only(m, "[^0-9]"), lambda d: F.array(_segment(kind_of(m, d), m)))
+    keyed = let(word, lambda w: F.array(_segment("", w), _segment("secret", F.substring(m, F.length(w) + 1, F.length(m)))))
+    other = ~m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & m.rlike(RUN)
+    return F.when(~m.contains("@") & m.rlike("^" + WORD), keyed).when(other, _cards(m)).otherwise(whole)
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """m's pseudonym as that kind."""
     new = {"email": _new_email, "secret": _new_secret, "iban": _new_iban, "date": _new_date, "ip": _new_ip, "ssn": _new_ssn, "card": _new_card, "phone": _new_phone}
@@ -279,10 +348,11 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     own = "__text_parts"
     hit = F.col(text).rlike("[0-9@]")
     matches = F.when(hit, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.transform(matches, lambda m: F.struct(let(_only(m, "[^0-9]"), lambda d: kind_of(m, d)).alias("kind"), m.alias("value")))
-    named = F.transform(kinds, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key).alias("pseudonym")))
-    got = base.withColumn("found", named)
+    named = F.transform(matches, lambda m: F.transform(segments_of(m), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key).alias("pseudonym"))))
+    cut = "__text_found"
+    got = base.withColumn(cut, named).withColumn("found", F.flatten(cut))
     parts = F.split(F.col(text), ANY, -1)
-    joined = F.array_join(F.zip_with(parts, F.col("found"), lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], F.lit("")))), "")
+    new = lambda m: F.coalesce(F.array_join(F.transform(m, lambda s: s["pseudonym"]), ""), F.lit(""))
+    joined = F.array_join(F.zip_with(parts, F.col(cut), lambda p, m: F.concat(p, new(m))), "")
     changed = F.exists("found", lambda m: m["kind"] != "")
     return got.withColumn(own, F.when(changed, joined).otherwise(F.col(text))).select(*[F.col(own).alias(text) if c == text else F.col(c) for c in base.columns], F.filter("found", lambda m: m["kind"] != "").alias("found"))
