@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import Stages, WordHashes, shingle_hashes, small_batches
@@ -330,8 +331,8 @@ def _mixed(blocks: DataFrame, comp: DataFrame) -> DataFrame:
     return now.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo <> hi").select("key", "sig", "comp")
 
 
-def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, part: int = 16) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of df: sets link at num / den; part: see slack()."""
+def _rooted(df: DataFrame, id: str, text: str, n: int, num: int, den: int, part: int) -> DataFrame:
+    """(id, size, sig, comp) for each row of df."""
     spark = df.sparkSession
     small_batches(spark)
     stages = Stages(spark, "jaccard")
@@ -391,18 +392,47 @@ def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text",
     final = components(links.union(more), stages)
 
     rooted = scan.select("id", "size", "sig").join(final.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    rooted = stages.write(rooted, "rooted")
+    return stages.write(rooted, "rooted")
+
+
+def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, part: int = 16) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of df: sets link at num / den; part: see slack()."""
+    rooted = _rooted(df, id, text, n, num, den, part)
     first = rooted.where("size > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = rooted.join(first, "comp", "left")
     return out.select(F.col("id").alias(id), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _signed(df: DataFrame, text: str, n: int) -> DataFrame:
+    """df with __sig and __size of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            got = [shingle_hashes(t, n, cache) for t in batch.column(0).to_pylist()]
+            more = [pa.array([signature(h) for h in got], pa.int64()), pa.array([len(h) for h in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more], names=[*batch.schema.names[1:], "__sig", "__size"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__sig", T.LongType()), T.StructField("__size", T.LongType())])
+    return df.select(F.col(text).cast("binary").alias("__t"), *df.columns).mapInArrow(run, schema)
+
+
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """df with one document of each component: the least id's.  Of rows that share that id, one stays."""
+    """df with one row of each component: the least id's (null last), of its rows in the component the least signature's.
+
+    Rows are told apart by id and signature, so other texts of a shared or null id stay or go by their own components; of
+    rows equal in both, one stays.  Rows with no words all stay.  Only rows whose id is null or shared are signed anew.
+    """
     stages = Stages(df.sparkSession, "dedup")
-    comp = stages.write(similarity_components(df, id, text, n, num, den), "components")
-    gone = checked(stages.write(comp.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("__gone")).distinct(), "gone"))
-    twice = checked(stages.write(comp.where("n_shingles > 0").groupBy(F.col(id).alias("__twice")).count().where("count > 1").select("__twice"), "twice"))
-    stay = df.join(gone, F.col(id).cast("long") == F.col("__gone"), "left_anti")
-    same = F.col(id).cast("long").eqNullSafe(F.col("__twice"))
-    return stay.join(twice, same, "left_anti").unionByName(stay.join(twice, same, "left_semi").dropDuplicates([id]))
+    small_batches(df.sparkSession)
+    rooted = _rooted(df, id, text, n, num, den, 16).where("size > 0")
+    keep = rooted.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sig")).alias("k")).select("comp", "k.id", "k.sig")
+    odd = checked(stages.write(df.groupBy(F.col(id).cast("long").alias("__odd")).count().where("count > 1 OR __odd IS NULL").select("__odd"), "odd"))
+    other = rooted.join(keep.withColumnRenamed("id", "kid").withColumnRenamed("sig", "ksig"), "comp").where(~(F.col("id").eqNullSafe(F.col("kid")) & (F.col("sig") == F.col("ksig"))))
+    gone = stages.write(other.select(F.col("id").alias("__gone"), F.col("sig").alias("__gsig")).distinct(), "gone")
+    mine = F.col(id).cast("long")
+    alone = df.join(odd, mine.eqNullSafe(F.col("__odd")), "left_anti").join(checked(gone.select("__gone")), mine == F.col("__gone"), "left_anti")
+    signed = _signed(df.join(odd, mine.eqNullSafe(F.col("__odd")), "left_semi"), text, n)
+    left = signed.where("__size > 0").join(checked(gone), mine.eqNullSafe(F.col("__gone")) & (F.col("__sig") == F.col("__gsig")), "left_anti")
+    one = left.withColumn("__id", mine).dropDuplicates(["__id", "__sig"])
+    return alone.unionByName(one.select(*df.columns)).unionByName(signed.where("__size = 0").select(*df.columns))

@@ -1,6 +1,6 @@
 """Jobs of the training-data operators that were once done in part."""
 
-from stratalens.llm import decontam, pii
+from stratalens.llm import decontam, jaccard, pii
 
 
 def test_short_items_leak_whole_at_word_boundaries(spark):
@@ -29,3 +29,12 @@ def test_cards_beside_other_digits_and_keyed_secrets(spark):
     assert got[10].text.startswith('token="') and len(got[10].text) == len(texts[10]) and "Ab9-xyzQ81_k" not in got[10].text
     assert got[11].text == got[12].text.upper() and got[11].text != texts[11]
     assert len(got[15].text) == len(texts[15])
+
+
+def test_near_duplicates_are_told_apart_by_row(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    # 2 has a copy of 1's text and another text; null ids: two texts of their own, one twice, and a copy of 1's
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, d), (None, d), (None, a), (3, e), (3, e), (4, e), (5, ""), (5, ""), (None, None)]
+    kept = jaccard.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, c), (None, d), (3, e), (5, ""), (5, ""), (None, None)], key=str)
