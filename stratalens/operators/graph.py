@@ -205,8 +205,8 @@ def root_summary(spark, sf_dir):
 
 
 def centrality(spark, sf_dir):
-    """2.5-9: PageRank of programs over calls and executions (rounded to compare)."""
-    got = pagerank(_edges(spark, sf_dir, "rel_type IN ('CALLS', 'EXECUTES')"), turns=5)
+    """2.5-9: PageRank of programs over calls and executions, 50 turns (rounded to compare)."""
+    got = pagerank(_edges(spark, sf_dir, "rel_type IN ('CALLS', 'EXECUTES')"))
     return got.where(F.col("id").startswith("P")).select("id", F.round("rank", 9).alias("rank"))
 
 
@@ -270,14 +270,18 @@ def _seed(*names: str) -> str:
 _JOBS = "SELECT DISTINCT source_id AS root, source_id AS id FROM edge WHERE rel_type = 'EXECUTES'"
 
 
-def oracle_sql() -> dict[str, str]:
-    turns = ["r0 AS (SELECT id, o, 1.0E0 / n AS r FROM node, total)"]
-    for k in range(5):
+def _rank_sql(count: int) -> str:
+    """Oracle: PageRank by so many turns, each a table of its own."""
+    turns = ["r0 AS MATERIALIZED (SELECT id, o, 1.0E0 / n AS r FROM node, total)"]
+    for k in range(count):
         turns.append(
-            f"r{k + 1} AS (SELECT node.id, node.o, 0.15E0 / n + 0.85E0 * (coalesce(g.got, 0) + lost / n) AS r FROM node CROSS JOIN total CROSS JOIN (SELECT coalesce(sum(r), 0) AS lost FROM r{k} WHERE o IS NULL) l LEFT JOIN (SELECT s.y AS id, sum(p.r * s.k / p.o) AS got FROM s JOIN r{k} p ON p.id = s.x GROUP BY s.y) g ON g.id = node.id)"
+            f"r{k + 1} AS MATERIALIZED (SELECT node.id, node.o, 0.15E0 / n + 0.85E0 * (coalesce(g.got, 0) + lost / n) AS r FROM node CROSS JOIN total CROSS JOIN (SELECT coalesce(sum(r), 0) AS lost FROM r{k} WHERE o IS NULL) l LEFT JOIN (SELECT s.y AS id, sum(p.r * s.k / p.o) AS got FROM s JOIN r{k} p ON p.id = s.x GROUP BY s.y) g ON g.id = node.id)"
         )
-    rank = f"""WITH s AS (SELECT source_id AS x, target_id AS y, count(*) AS k FROM edge WHERE rel_type IN ('CALLS', 'EXECUTES') GROUP BY 1, 2), outs AS (SELECT x, sum(k) AS o FROM s GROUP BY x),
-        node AS (SELECT v.id, outs.o FROM (SELECT x AS id FROM s UNION SELECT y FROM s) v LEFT JOIN outs ON outs.x = v.id), total AS (SELECT count(*) AS n FROM node), {", ".join(turns)} SELECT id, round(r, 9) AS rank FROM r5 WHERE id LIKE 'P%'"""
+    return f"""WITH s AS MATERIALIZED (SELECT source_id AS x, target_id AS y, count(*) AS k FROM edge WHERE rel_type IN ('CALLS', 'EXECUTES') GROUP BY 1, 2), outs AS (SELECT x, sum(k) AS o FROM s GROUP BY x),
+        node AS MATERIALIZED (SELECT v.id, outs.o FROM (SELECT x AS id FROM s UNION SELECT y FROM s) v LEFT JOIN outs ON outs.x = v.id), total AS (SELECT count(*) AS n FROM node), {", ".join(turns)} SELECT id, round(r, 9) AS rank FROM r{count} WHERE id LIKE 'P%'"""
+
+
+def oracle_sql() -> dict[str, str]:
     flat = "SELECT id, dist FROM reach"
     return {
         "dead_code": _reach(f"{CONTROL} AND status = 'confirmed'", _JOBS, False, 24, "SELECT program_id FROM program WHERE program_id NOT IN (SELECT id FROM reach)"),
@@ -288,7 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "root_summary": _reach(CONTROL, _JOBS, False, 24, "SELECT root, count(*) AS reached, count(*) FILTER (WHERE confidence < 0.5) AS unresolved, least(1.0E0, count(*) FILTER (WHERE confidence < 0.5) * 0.08E0 + count(*) / 3000.0E0) AS risk FROM reach GROUP BY root"),
         "simulate": _reach(ANY, _seed("T3"), True, 3, "SELECT scenario, CAST(least(100, d * w) AS BIGINT) AS risk, CAST(greatest(0, 100 - u * w) AS BIGINT) AS readiness FROM (VALUES ('rename', 1), ('replace', 3), ('retire', 5)) v(scenario, w), (SELECT count(*) AS d, count(*) FILTER (WHERE confidence < 1) AS u FROM reach WHERE dist > 0) x"),
         "weak_components": with_("WITH e AS (SELECT source_id AS x, target_id AS y FROM edge WHERE rel_type = 'CALLS' UNION SELECT target_id, source_id FROM edge WHERE rel_type = 'CALLS'), w AS (SELECT x AS id, x AS seen FROM e UNION SELECT w.id, e.y FROM w JOIN e ON e.x = w.seen) SELECT component, count(*) AS n FROM (SELECT id, min(seen) AS component FROM w GROUP BY id) c GROUP BY component", recursive=True),
-        "centrality": with_(rank),
+        "centrality": with_(_rank_sql(50)),
         "degree_centrality": with_("WITH e AS (SELECT DISTINCT source_id, target_id FROM edge), d AS (SELECT id, count(*) AS g FROM (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e) x GROUP BY id) SELECT id, CAST(g AS DOUBLE) / ((SELECT count(*) FROM d) - 1) AS centrality FROM d ORDER BY centrality DESC, id LIMIT 20"),
         "shard_modularity": with_("WITH w AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, CAST(count(*) AS DOUBLE) AS w FROM edge WHERE rel_type = 'CALLS' GROUP BY 1, 2), l AS (SELECT DISTINCT prog AS id, shard FROM seen), e AS (SELECT x.shard AS ca, y.shard AS cb, w FROM w JOIN l x ON x.id = a JOIN l y ON y.id = b WHERE a <> b), m AS (SELECT sum(w) AS m FROM e), i AS (SELECT ca AS c, sum(w) AS inside FROM e WHERE ca = cb GROUP BY ca), d AS (SELECT c, sum(w) AS d FROM (SELECT ca AS c, w FROM e UNION ALL SELECT cb, w FROM e) z GROUP BY c) SELECT round(sum(coalesce(inside, 0) / m - (d / (2 * m)) * (d / (2 * m))), 9) AS q FROM d LEFT JOIN i ON i.c = d.c, m"),
     }

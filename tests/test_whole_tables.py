@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from stratalens.operators import relational
+from stratalens.operators import graph, relational
 
 HOUR = datetime.datetime(2024, 1, 1)
 
@@ -53,3 +53,20 @@ def test_roots_are_called_by_no_program_at_all(spark, estate):
     got = {r.bucket: r.n for r in relational.queries()["runtime_reconcile"](spark, folder).collect()}
     # P9 and P7 are called and seen; P2 is called and not seen; P8 is seen and has no caller; P5 is neither
     assert got == {"agrees": 2, "called_not_seen": 1, "dead_but_executed": 1, "unknown": 1}
+
+
+def test_centrality_takes_fifty_turns(spark, estate):
+    users = [1, 2, 3, 1, 2, 4, 2, 5, 2, 3, 1, 5]
+    folder = estate([(u, "signup" if k == 0 else "view", k, 1) for k, u in enumerate(users)])
+    edges = graph._edges(spark, folder, "rel_type IN ('CALLS', 'EXECUTES')")
+    plain = [(r.source_id, r.target_id) for r in edges.collect()]
+    nodes = sorted({x for e in plain for x in e})
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    out = {x: sum(a == x for a, _ in plain) for x in nodes}
+    for turn in range(50):
+        lost = sum(rank[x] for x in nodes if not out[x])
+        rank = {x: 0.15 / len(nodes) + 0.85 * (sum(rank[a] / out[a] for a, b in plain if b == x) + lost / len(nodes)) for x in nodes}
+        if turn == 4:
+            five = {x: round(v, 9) for x, v in rank.items() if x[0] == "P"}
+    got = {r.id: r.rank for r in graph.queries()["centrality"](spark, folder).collect()}
+    assert got == pytest.approx({x: v for x, v in rank.items() if x[0] == "P"}, abs=2e-9) and got != pytest.approx(five, abs=2e-9)
