@@ -140,7 +140,7 @@ def dead_code(spark, sf_dir):
 
 
 def capabilities(spark, sf_dir):
-    """2.5-3, 2.5-4: what each job's closure holds."""
+    """2.5-4: what each job's closure holds."""
     jobs = _edges(spark, sf_dir, "rel_type = 'EXECUTES'").select(F.col("source_id").alias("id")).distinct()
     reach = bfs(best_edges(_edges(spark, sf_dir, f"({CONTROL} AND status = 'confirmed') OR (rel_type IN ('READS', 'WRITES'))")), jobs)
     return reach.groupBy("root").agg(F.count_if(F.col("id").startswith("P")).alias("programs"), F.count_if(F.col("id").startswith("T")).alias("tables"), F.max("dist").alias("depth"))
@@ -167,7 +167,7 @@ def blast_radius(spark, sf_dir):
 
 
 def impact(spark, sf_dir):
-    """2.5-12: dependents to depth 8, counted by kind and depth."""
+    """Dependents to depth 8, counted by kind and depth."""
     up = bfs(best_edges(_edges(spark, sf_dir, ANY)), _ids(spark, "T2"), reverse=True, depth=8).where("dist > 0")
     return up.groupBy(F.substring("id", 1, 1).alias("kind"), "dist").agg(F.count(F.lit(1)).alias("n"))
 
@@ -178,21 +178,21 @@ def lineage(spark, sf_dir):
 
 
 def graph_slice(spark, sf_dir):
-    """2.5-15 to 2.5-17: a slice of both directions to depth 2 above a confidence, the nearest first, cut at a limit."""
+    """A slice of both directions to depth 2 above a confidence, the nearest first, cut at a limit."""
     e = best_edges(_edges(spark, sf_dir, "confidence >= 0.7E0"))
     both = bfs(e, _ids(spark, "P5"), depth=2).unionByName(bfs(e, _ids(spark, "P5"), reverse=True, depth=2))
     return both.groupBy("id").agg(F.min("dist").alias("dist")).orderBy("dist", "id").limit(100)
 
 
 def expand_neighbors(spark, sf_dir):
-    """2.5-20 to 2.5-22: undirected distance to the nearest of several seeds, to 3."""
+    """Undirected distance to the nearest of several seeds, to 3."""
     e = best_edges(_edges(spark, sf_dir, "rel_type = 'CALLS'"))
     flip = e.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "confidence", "review")
     return bfs(e.unionByName(flip), _ids(spark, "P1", "P9"), depth=3).groupBy("id").agg(F.min("dist").alias("dist"))
 
 
 def weak_components(spark, sf_dir):
-    """2.5-14, 2.5-18: components of the call graph, with sizes."""
+    """2.5-14: components of the call graph, with sizes."""
     return components(_edges(spark, sf_dir, "rel_type = 'CALLS'")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -211,7 +211,7 @@ def centrality(spark, sf_dir):
 
 
 def call_communities(spark, sf_dir):
-    """2.5-10, 2.5-11: communities of the call graph."""
+    """2.5-10: communities of the call graph."""
     return communities(_edges(spark, sf_dir, "rel_type = 'CALLS'"))
 
 
@@ -234,7 +234,7 @@ SCENARIOS = {"rename": 1, "replace": 3, "retire": 5}
 
 
 def simulate(spark, sf_dir):
-    """2.5-23, 2.5-24: scenarios of change on a table, compared by readiness less risk."""
+    """2.5-24: scenarios of change on a table, compared by readiness less risk."""
     up = bfs(best_edges(_edges(spark, sf_dir, ANY)), _ids(spark, "T3"), reverse=True, depth=3).where("dist > 0")
     base = up.agg(F.count(F.lit(1)).alias("dependents"), F.count_if(F.col("confidence") < 1).alias("unsure"))
     plans = spark.createDataFrame(list(SCENARIOS.items()), "scenario string, weight int")
