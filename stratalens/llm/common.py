@@ -10,13 +10,30 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Texts are handed to Python in Arrow batches of this many rows, so that a batch of long texts stays small.
-BATCH_ROWS = 256
+#: Texts are handed to Python in Arrow batches of so many rows and so many bytes (or one longer row), so that a batch of
+#: long texts stays small.  The same for all operators, as plans are worked out later than they are made.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+
+
+def fresh(name: str, *taken: str) -> str:
+    """name, with underscores after it until no column has it; columns' names differ by more than case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def positioned(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns renamed c0, c1, ... so that no name can clash; and the new names of the columns named."""
+    own = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*own), [own[df.columns.index(n)] for n in named]
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share.  Read from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  On a local master (tests) that may be unset; else it's an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_stratalens_root", None)
+    if not root and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         spark._stratalens_root = root
@@ -52,9 +69,10 @@ class Stages:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that go to Python by rows; texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python; texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

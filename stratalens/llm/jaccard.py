@@ -12,15 +12,21 @@ den * |A & B| >= num * |A | B|.  The result is each document's component under l
    are kept in an R-tree; the sum of the coordinate minima of a point and a node's upper corner bounds the overlap.
    First, each set goes to one block's centre, where surviving pairs are verified at once and united, and again to
    centres of other components as long as that unites many; so a group of near copies, of any size, costs in
-   proportion to its size.  Then all blocks that still hold two components are joined by R-tree across components,
-   pairs are verified, and components follow from all links.
+   proportion to its size.
+4. Sets that still share a kept hash with another component mostly share a common passage.  All their hashes meet by
+   value: only those that two components hold count.  A set with fewer of them than a link needs is done; of the
+   others the most frequent are left out as in 2, now by frequency and without slack, so a passage makes no block
+   unless a set consists of passages.  These blocks are joined by R-tree across components and by finer
+   points (the same bound with 65536 groups), pairs are verified, and components follow from all links.
 
 Blocks over CHUNK sets are cut into chunks (with the centre in each) or joined by pairs of chunks, so no task gets an
 unbounded group.
 
 Edge cases: a null or empty text has an empty set and links with nothing; fewer than n words are one shingle; repeated
 rows and ids are one row each in the result; rows with a null id get the least id of their component, null if
-there is none; an empty table gives an empty result.
+there is none; equal similarity to the threshold links; texts of any length are taken whole, and a set of any size is
+one record; an empty table gives an empty result; extra columns of any name are left out of the join and pass through
+drop_near_duplicates().
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import Stages, WordHashes, shingle_hashes, small_batches
+from .common import Stages, WordHashes, positioned, shingle_hashes, small_batches
 from .components import components
 
 CHUNK = 512
@@ -270,20 +276,43 @@ def _star_links(stars: DataFrame, num: int, den: int) -> DataFrame:
     return stars.repartition("g").sortWithinPartitions("g").select("g", "sig", "set", "counts", "comp").mapInArrow(run, "a long, b long")
 
 
+def fine_overlaps(points: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Summed coordinate minima of all pairs of fine points (sorted group numbers, one for each token)."""
+    flat = np.concatenate(points).astype(np.int64)
+    row = np.repeat(np.arange(len(points)), [len(p) for p in points])
+    new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])
+    at = np.arange(len(flat))
+    again = at - np.maximum.accumulate(np.where(new, at, 0))  # 0 for a group's first token, 1 for its second
+    _, column, count = np.unique(flat << 32 | again, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    row, column = row[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(points), len(points)), np.float32)
+    for low in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(column, [low, low + width])
+        part = np.zeros((len(points), width), np.float32)
+        part[row[i:j], column[i:j] - low] = 1
+        out += part @ part.T
+    return out
+
+
 def _block_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of two components whose bound in the block's R-tree leaves a link possible."""
+    """(a, b): pairs of two components whose bounds in the block leave a link possible: by R-tree, then by fine points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _groups(batches):
             a, b = [], []
             key, sig, comp, size, side = (whole.column(k).to_numpy() for k in range(5))
-            points = _points(whole.column(5))
+            points, fine = _points(whole.column(5)), whole.column(6)
+            span = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+            near: list[tuple[np.ndarray, np.ndarray]] = []
             for x, y in _leaves(key):
                 ok = (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] == 0)) & (np.minimum(size[x], size[y]) * den >= num * np.maximum(size[x], size[y]))
                 x, y = x[ok], y[ok]
                 ok = np.minimum(points[x], points[y]).sum(1) * (num + den) >= num * (size[x] + size[y])
-                a += np.minimum(sig[x[ok]], sig[y[ok]]).tolist()
-                b += np.maximum(sig[x[ok]], sig[y[ok]]).tolist()
+                near.append((x[ok], y[ok]))
             for i, j in _spans(key):
                 if j - i <= LEAF:
                     continue
@@ -292,11 +321,30 @@ def _block_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
                 for x, y in CountTree(points[i:j], size[i:j]).join(num, den, one):
                     x, y = x + i, y + i
                     ok = (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] == 0))
-                    a += np.minimum(sig[x[ok]], sig[y[ok]]).tolist()
-                    b += np.maximum(sig[x[ok]], sig[y[ok]]).tolist()
+                    near.append((x[ok], y[ok]))
+            x, y = (np.concatenate(c) if c else np.empty(0, int) for c in (zip(*near, strict=True) if near else ((), ())))
+            order = np.argsort(span[x], kind="stable")
+            x, y = x[order], y[order]
+            for i, j in _spans(span[x]) if len(x) else ():
+                used, at = np.unique(np.concatenate([x[i:j], y[i:j]]), return_inverse=True)
+                both = fine_overlaps([np.frombuffer(f, np.uint16) for f in fine.take(pa.array(used)).to_pylist()])[at[: j - i], at[j - i :]]
+                ok = np.flatnonzero(both * (num + den) >= num * (size[x[i:j]] + size[y[i:j]])) + i
+                a += np.minimum(sig[x[ok]], sig[y[ok]]).tolist()
+                b += np.maximum(sig[x[ok]], sig[y[ok]]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return blocks.repartition("g").sortWithinPartitions("g").select("g", "sig", "comp", "size", "side", "counts").mapInArrow(run, "a long, b long")
+    return blocks.repartition("g").sortWithinPartitions("g").select("g", "sig", "comp", "size", "side", "counts", "fine").mapInArrow(run, "a long, b long")
+
+
+def _fine(sets: DataFrame) -> DataFrame:
+    """sig, size, counts and fine: the point in 65536 groups, as the sorted numbers of its tokens' groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [np.sort((np.frombuffer(x, np.uint64) >> np.uint64(16)).astype(np.uint16)).tobytes() for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fine, pa.binary())], names=["sig", "size", "counts", "fine"])
+
+    return sets.select("sig", "size", "counts", "set").mapInArrow(run, "sig long, size long, counts binary, fine binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -324,6 +372,36 @@ def _stars(centre: DataFrame, sets: DataFrame, comp: DataFrame | None, stages: S
     return sets.join(checked(stages.write(out, "stars")), "sig")
 
 
+def _hashes(sets: DataFrame) -> DataFrame:
+    """(sig, comp, key) for each hash of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(x) // 8 for x in batch.column(2).to_pylist()]
+            key = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            sig, comp = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
+            for at in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (sig, comp, key)], names=["sig", "comp", "key"])
+
+    return sets.select("sig", "comp", "set").mapInArrow(run, "sig long, comp long, key long")
+
+
+def _narrowed(sets: DataFrame, num: int, den: int, stages: Stages) -> DataFrame:
+    """(key, sig, comp): blocks in which all that links across the components of sets meets; see 4 above.
+
+    Every set that may link across components must be in sets, with sig, comp, size and set.
+    """
+    by, own = W.partitionBy("key"), W.partitionBy("sig")
+    met = _hashes(sets).repartition("key").withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).withColumn("df", F.count(F.lit(1)).over(by))
+    met = stages.write(met.where("lo <> hi").select("sig", "comp", "key", "df"), "met")
+    enough = met.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).join(sets.select("sig", "size"), "sig")
+    enough = enough.withColumn("spare", F.col("c") - F.expr(f"(size * {num} + {den - 1}) div {den}")).where("spare >= 0")
+    left = met.join(checked(stages.write(enough.select("sig", "spare"), "enough")), "sig")
+    left = left.withColumn("k", F.row_number().over(own.orderBy("df", "key"))).where("k <= spare + 1")
+    left = left.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by))
+    return stages.write(left.where("lo <> hi").select("key", "sig", "comp"), "narrow")
+
+
 def _mixed(blocks: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of blocks that hold two components or more, with their components."""
     now = blocks.join(comp.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -351,7 +429,9 @@ def _rooted(df: DataFrame, id: str, text: str, n: int, num: int, den: int, part:
 
     centre = blocks.withColumn("m", F.min("sig").over(W.partitionBy("key"))).groupBy("sig").agg(F.min("m").alias("centre"))
     centre = stages.write(centre, "centre")
-    first = scan.groupBy("sig").agg(F.min("id").alias("id"))
+    slim = stages.write(scan.select("id", "size", "sig"), "rows")
+    stages.drop(scan)
+    first = slim.groupBy("sig").agg(F.min("id").alias("id"))
     wanted = first.join(centre.select("sig"), "sig", "left_semi").select(F.col("id").alias("w"))
     wanted = checked(stages.write(wanted.distinct(), "wanted"))
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi")
@@ -380,27 +460,29 @@ def _rooted(df: DataFrame, id: str, text: str, n: int, num: int, den: int, part:
             mixed = stages.write(_mixed(blocks, comp), "mixed")
             break
 
-    mixed = _chunked(mixed, "key", "block")
+    again = checked(stages.write(mixed.select("sig", "comp").distinct(), "again"))
+    mixed = _chunked(_narrowed(sets.join(again, "sig"), num, den, stages), "key", "block")
     whole = mixed.where("chunks = 1").withColumn("g", F.xxhash64("key")).withColumn("side", F.lit(0))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cut = mixed.where("chunks > 1").withColumn("o", other)
     lo, hi = F.least("chunk", "o"), F.greatest("chunk", "o")
     cut = cut.withColumn("g", F.xxhash64("key", lo, hi)).withColumn("side", F.when(F.col("chunk") == F.col("o"), 0).when(F.col("chunk") < F.col("o"), 1).otherwise(2)).drop("o")
-    pairs = _block_pairs(whole.unionByName(cut).join(sets.select("sig", "size", "counts"), "sig"), num, den)
+    points = stages.write(_fine(sets.join(checked(stages.write(mixed.select("sig").distinct(), "last")), "sig")), "points")
+    pairs = _block_pairs(whole.unionByName(cut).join(points, "sig"), num, den)
     pairs = stages.write(pairs.distinct(), "pairs")
     more = stages.write(_verified(pairs, sets, num, den), "more")
     final = components(links.union(more), stages)
 
-    rooted = scan.select("id", "size", "sig").join(final.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    rooted = slim.join(final.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     return stages.write(rooted, "rooted")
 
 
 def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, part: int = 16) -> DataFrame:
     """(id, n_shingles, component_id) for each row of df: sets link at num / den; part: see slack()."""
     rooted = _rooted(df, id, text, n, num, den, part)
-    first = rooted.where("size > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    out = rooted.join(first, "comp", "left")
-    return out.select(F.col("id").alias(id), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    many = rooted.where("size > 0").groupBy("comp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    out = rooted.join(checked(Stages(df.sparkSession, "components").write(many.select("comp", "least"), "many")), "comp", "left")
+    return out.select(F.col("id").alias(id), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _signed(df: DataFrame, text: str, n: int) -> DataFrame:
@@ -423,6 +505,8 @@ def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
     Rows are told apart by id and signature, so other texts of a shared or null id stay or go by their own components; of
     rows equal in both, one stays.  Rows with no words all stay.  Only rows whose id is null or shared are signed anew.
     """
+    names = df.columns
+    df, (id, text) = positioned(df, id, text)
     stages = Stages(df.sparkSession, "dedup")
     small_batches(df.sparkSession)
     rooted = _rooted(df, id, text, n, num, den, 16).where("size > 0")
@@ -435,4 +519,4 @@ def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
     signed = _signed(df.join(odd, mine.eqNullSafe(F.col("__odd")), "left_semi"), text, n)
     left = signed.where("__size > 0").join(checked(gone), mine.eqNullSafe(F.col("__gone")) & (F.col("__sig") == F.col("__gsig")), "left_anti")
     one = left.withColumn("__id", mine).dropDuplicates(["__id", "__sig"])
-    return alone.unionByName(one.select(*df.columns)).unionByName(signed.where("__size = 0").select(*df.columns))
+    return alone.unionByName(one.select(*df.columns)).unionByName(signed.where("__size = 0").select(*df.columns)).toDF(*names)
