@@ -4,15 +4,15 @@ A template is a function from turns to text, and nothing else is known of it.  R
 conversation and comparing each output with the one before locates each turn's span: what the longer output adds.  A
 template whose longer output doesn't begin with the shorter one rewrites history, which is reported, not hidden.
 
-For a conversation of more than WINDOW turns, prefixes of a sliding window are rendered instead, and the spans so found
-must join up to the one rendering of the whole; where they don't (a template that looks further back), all prefixes are
-rendered after all.
+All prefixes are rendered, however many turns there are: of a template of which nothing is known, only that shows where
+a turn stands and whether history is rewritten.  So a conversation costs as the square of its turns.
 
 The template here marks turns with control strings, and escapes, reversibly, what looks like one in a text.
 
-Edge cases: null text and null role are empty; turns of one number are ordered by role and text; repeated rows are turns
-of their own; an empty table gives an empty result; a conversation is one record however long, since its formatted text
-is one value, but it is streamed from a sorted partition and never held twice.
+Edge cases: null text and null role are empty; rows without an id make one conversation, and turns without a number come
+first; turns of one number are ordered by role and text; repeated rows are turns of their own; an empty table gives an
+empty result; extra columns of any name are left out; a conversation is one record however long, since its formatted
+text is one value, but it is streamed from a sorted partition and never held twice.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-WINDOW = 64
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
@@ -60,38 +59,16 @@ class RewritesHistory(ValueError):
     """A longer conversation's rendering doesn't begin with the shorter one's."""
 
 
-def _prefix_spans(turns: Sequence[Turn], template: Template) -> tuple[str, list[tuple[int, int]]]:
-    last, spans = template(()), []
+def spans(turns: Sequence[Turn], template: Template) -> tuple[str, list[tuple[int, int]]]:
+    """The rendering and each turn's span in it."""
+    last, found = template(()), []
     for k in range(1, len(turns) + 1):
         now = template(turns[:k])
         if not now.startswith(last):
             raise RewritesHistory(f"turn {k - 1} changes what was rendered before it")
-        spans.append((len(last), len(now)))
+        found.append((len(last), len(now)))
         last = now
-    return last, spans
-
-
-def spans(turns: Sequence[Turn], template: Template) -> tuple[str, list[tuple[int, int]]]:
-    """The rendering and each turn's span in it."""
-    if len(turns) <= WINDOW:
-        return _prefix_spans(turns, template)
-    whole, added = template(turns), []
-    _, first = _prefix_spans(turns[:WINDOW], template)
-    for k in range(WINDOW, len(turns)):
-        window = turns[k - 4 : k + 1]
-        short, long = template(window[:-1]), template(window)
-        if not long.startswith(short):
-            return _prefix_spans(turns, template)
-        added.append(long[len(short) :])
-    out, at = first, first[-1][1]
-    for piece in added:
-        if not whole.startswith(piece, at):
-            return _prefix_spans(turns, template)
-        out.append((at, at + len(piece)))
-        at += len(piece)
-    if at != len(whole) or not whole.startswith(template(turns[:WINDOW])):
-        return _prefix_spans(turns, template)
-    return whole, out
+    return last, found
 
 
 #: A text that no turn is likely to hold; rendered in a turn's place, it shows where the template puts texts.
@@ -111,8 +88,7 @@ def format_turns(turns: Sequence[Turn], template: Template = marked) -> dict:
     """formatted, turn spans, loss spans (assistants' texts) and whether the template rewrites history."""
     try:
         whole, found = spans(turns, template)
-        before = lambda k: turns[:k] if k < WINDOW else turns[k - 4 : k]
-        loss = [body_span(whole, s, before(k), t[0], template) for k, (s, t) in enumerate(zip(found, turns, strict=True)) if t[0] == "assistant"]
+        loss = [body_span(whole, s, turns[:k], t[0], template) for k, (s, t) in enumerate(zip(found, turns, strict=True)) if t[0] == "assistant"]
     except RewritesHistory:
         return {"formatted": template(turns), "spans": [], "loss": [], "rewrites": True}
     return {"formatted": whole, "spans": found, "loss": loss, "rewrites": False}
@@ -132,7 +108,7 @@ SCHEMA = "conv_id long, formatted string, spans array<struct<start:int,end:int>>
 
 def format_conversations(df: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: Template = marked) -> DataFrame:
     """A row for each conversation: its formatted text, turn spans, loss spans (offsets in code points), rewrites."""
-    small_batches(df.sparkSession, 2048)
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
     def out(got: list[tuple]) -> pa.RecordBatch:
