@@ -8,8 +8,11 @@ normalised by the text's length, and a logistic curve fitted to the labelled row
 Learning: lexicon and curve are fitted on at most FIT_ROWS labelled rows, taken by hash of the id; features are counted
 by grouped aggregation, and at most MAX_TERMS enter the lexicon.  Rows with crc32(id) mod 5 = 0 are held out.
 
-Edge cases: null and empty texts match nothing and get the score of no match; rows labelled twice count twice; null
-labels are left out; without labels of both classes every score is 0.0; a text of any length is matched whole.
+Edge cases: null and empty texts match nothing and get the score of no match; rows labelled twice count twice, and so do
+repeated documents; null labels and labels without a document are left out; without labels of both classes every score
+is 0.0; of terms of one weight the later in the alphabet is chosen first; a score of one half predicts 1; a text of any
+length, and a word of any length, is matched whole; an empty table gives an empty result; columns named like the outputs
+are replaced, others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 from .jaccard import checked
@@ -67,8 +72,7 @@ def features(folded: str) -> set[str]:
     """The distinct candidates of a text: ` word ` for whole words, ` begin` for word beginnings."""
     out = set()
     for w in set(folded.split()):
-        if len(w) <= 30:
-            out.add(f" {w} ")
+        out.add(f" {w} ")
         out.update(" " + w[:k] for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
     return out
 
@@ -109,13 +113,13 @@ def shape(weight: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray
     return np.stack([np.ones(len(n)), np.minimum(weight * 100 / n, 40) / 10, np.log1p(weight), hits > 0], 1).astype(float)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method."""
+def fit_curve(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton's method; times: how often each row counts."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (times * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (times * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -168,22 +172,22 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     best = counted.where(F.col("a") >= 5).withColumn("o", odds * F.sqrt("a")).where(odds >= 3.0).orderBy(F.desc("o"), "f").limit(4 * MAX_TERMS)
     terms = choose_terms([(r.f, r.a, r.b) for r in best.collect()], n[1], n[0])
 
-    got = _weighed(rows.select("__t", "__y"), "__t", terms).select("weight", "hits", "words", "__y").limit(FIT_ROWS).collect()
-    x = shape(*(np.array([r[k] for r in got], float) for k in range(3)))
-    return terms, fit_curve(x, np.array([r[3] == 1 for r in got], float)).tolist()
+    # FIT_ROWS documents at most: more than that only where ids are repeated in docs, and then the same ones each time
+    got = _weighed(rows, "__t", terms).orderBy(F.xxhash64(F.lit("curve"), "__id"), "__id", "__y", "weight", "hits", "words").limit(FIT_ROWS).collect()
+    x = shape(*(np.array([r[k] for r in got], float) for k in ("weight", "hits", "words")))
+    return terms, fit_curve(x, np.array([r["__y"] == 1 for r in got], float), np.array([r["__n"] for r in got], float)).tolist()
 
 
-_lexicons: dict[int, Lexicon] = {}
+_lexicons: dict[str, Lexicon] = {}
 
 
 def _weighed(df: DataFrame, text: str, terms: dict[str, float]) -> DataFrame:
     """df without the text, with weight, hits and words."""
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast(terms)  # MAX_TERMS entries at most
+    held, key = spark.sparkContext.broadcast(terms), uuid.uuid4().hex  # MAX_TERMS entries at most
     others = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(held.value)
         if key not in _lexicons:
             _lexicons.clear()
             _lexicons[key] = Lexicon(held.value)
@@ -192,8 +196,8 @@ def _weighed(df: DataFrame, text: str, terms: dict[str, float]) -> DataFrame:
             got = [own.weigh(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], names=[*others, "weight", "hits", "words"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
-    return df.mapInArrow(run, f"{kinds}{', ' if kinds else ''}weight double, hits long, words long")
+    more = [T.StructField(n, k) for n, k in (("weight", T.DoubleType()), ("hits", T.LongType()), ("words", T.LongType()))]
+    return df.mapInArrow(run, T.StructType([*(f for f in df.schema.fields if f.name != text), *more]))
 
 
 def score(df: DataFrame, terms: dict[str, float], curve: list[float], text: str = "text") -> DataFrame:
