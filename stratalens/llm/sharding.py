@@ -7,7 +7,7 @@ p mod shards, slot p div shards, so counts differ by one at most and slots have
 number follow from the number, N and the seed alone (`place`).
 
 Equal rows are counted before they are dealt and numbered by explode, so a row that makes up a third of the table
-is one record until then.
+is one record until then, and comes out in parts that are dealt to all tasks.
 
 Edge cases: null keys or texts are values like any other; an empty table gives an empty result; equal rows get
 different places; fewer rows than shards leave shards empty; columns named like the outputs are replaced.
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import fresh
+
 ROUNDS, WALK = 8, 64
 
 
@@ -56,24 +58,31 @@ def place(number: Column, total: Column, shards: int, seed: int) -> tuple[Column
     return (p % shards).cast("int"), ((p - p % shards) / shards).cast("long")
 
 
-def numbered(df: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
-    """df with row_number_ (0..N-1, the same on each run) and total_.  keys: columns that spread rows; no map columns."""
+def numbered(df: DataFrame, keys: list[str], number: str = "row_number", total: str = "total", buckets: int = 4096, most: int = 100_000) -> DataFrame:
+    """df with number (0..N-1, the same on each run) and total (N).  keys: columns that spread rows; no map columns.
+
+    Copies of a row come out in parts of `most`, dealt to all tasks, so that none makes a hot row's copies alone.
+    """
+    own = {n: fresh(n, *df.columns, number, total) for n in ("copies", "bucket", "n", "first", "upto", "part")}
+    copies, bucket, n, first, upto, part = (own[k] for k in ("copies", "bucket", "n", "first", "upto", "part"))
     cols = list(df.columns)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies_")).withColumn("bucket_", bucket)
-    sums = counted.groupBy("bucket_").agg(F.sum("copies_").alias("n_"))
-    first = sums.select("bucket_", (F.sum("n_").over(W.orderBy("bucket_")) - F.col("n_")).alias("first_"), F.sum("n_").over(W.partitionBy()).alias("total_"))
-    before = F.sum("copies_").over(W.partitionBy("bucket_").orderBy(*keys, F.xxhash64(*cols), *cols).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (
-        counted.withColumn("upto_", before)
-        .join(F.broadcast(first), "bucket_")
-        .withColumn("row_number_", F.explode(F.sequence(F.col("first_") + F.col("upto_") - F.col("copies_"), F.col("first_") + F.col("upto_") - 1)))
-        .select(*cols, "row_number_", "total_")
-    )
-
-
-def shard(df: DataFrame, keys: list[str], shards: int = 8, seed: int = 20240229, buckets: int = 4096) -> DataFrame:
+    at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(copies)).withColumn(bucket, at)
+    sums = counted.groupBy(bucket).agg(F.sum(copies).alias(n))
+    firsts = sums.select(bucket, (F.sum(n).over(W.orderBy(bucket)) - F.col(n)).alias(first), F.sum(n).over(W.partitionBy()).alias(total))
+    before = F.sum(copies).over(W.partitionBy(bucket).orderBy(*keys, F.xxhash64(*cols), *cols).rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counted.withColumn(upto, before).join(F.broadcast(firsts), bucket)
+    start = F.col(first) + F.col(upto) - F.col(copies)
+    ends = F.least(start + (F.col(part) + 1) * most, start + F.col(copies)) - 1
+    few = placed.where(F.col(copies) <= most).withColumn(part, F.lit(0).cast("long"))
+    many = placed.where(F.col(copies) > most).withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / most).cast("long"))))
+    many = many.repartition(F.xxhash64(part, *keys))
+    return few.unionByName(many).withColumn(number, F.explode(F.sequence(start + F.col(part) * most, ends))).select(*cols, number, total)
+
+
+def shard(df: DataFrame, keys: list[str], shards: int = 8, seed: int = 20240229, buckets: int = 4096, most: int = 100_000) -> DataFrame:
     """df's rows with shard and slot, dealt evenly by rows."""
     base = df.drop(*[c for c in df.columns if c in ("shard", "slot")])
-    s, t = place(F.col("row_number_"), F.col("total_"), shards, seed)
-    return numbered(base, keys, buckets).withColumn("shard", s).withColumn("slot", t).drop("row_number_", "total_")
+    number, total = (fresh(n, *df.columns) for n in ("row_number", "total"))
+    s, t = place(F.col(number), F.col(total), shards, seed)
+    return numbered(base, keys, number, total, buckets, most).withColumn("shard", s).withColumn("slot", t).drop(number, total)
