@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 NONE = 1 << 62
 
@@ -222,7 +222,8 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, text: str = "text
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """df with its text's ids."""
-    return encode_decode(df, rank_path, pattern, text, ids, "__decoded").drop("__decoded")
+    back = fresh("decoded", *df.columns, ids)
+    return encode_decode(df, rank_path, pattern, text, ids, back).drop(back)
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:

@@ -11,8 +11,9 @@ larger automata.
 Items under `shortest` characters after folding are found by the same automaton, whole and without edits, where they
 begin and end at word boundaries: a few edits would turn so short a string into another one.
 
-Edge cases: null or empty texts and items leak nothing; equal items are each reported; repeated documents each report; an empty table on either
-side gives an empty result.
+Edge cases: null or empty texts and items leak nothing; equal items are each reported; repeated documents each report;
+of two passages equally near the first is reported; an empty table on either side gives an empty result; texts of any
+length are searched whole; extra columns of any name are left out by find_leaks() and pass through without_leaks().
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 #: Characters of benchmark items that one pass over the documents looks for.
 BLOCK_CHARS = 4_000_000
@@ -153,11 +155,15 @@ def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", percent: int = 5, least: int = 2, shortest: int = 40) -> DataFrame:
-    """(id, item_id, distance, end_at) for each item and row of docs that holds it."""
+    """(id, item_id, distance, end_at) for each item and row of docs that holds it.
+
+    If the documents' id has one of the other names, the column of that name gets underscores after it.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     out = None
-    schema = f"{id} long, item_id long, distance int, end_at long"
+    names = [id, *(fresh(n, id) for n in ("item_id", "distance", "end_at"))]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.LongType(), T.IntegerType(), T.LongType()), strict=True)])
     for block in item_blocks(benchmark, item, item_text):
         held = spark.sparkContext.broadcast(block)
 
@@ -166,7 +172,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
             for batch in batches:
                 got = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in own.leaks(t)]
                 cols = list(zip(*got, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[id, "item_id", "distance", "end_at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=names)
 
         found = docs.select(F.col(id).cast("long").alias(id), text).mapInArrow(run, schema)
         out = found if out is None else out.union(found)

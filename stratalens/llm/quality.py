@@ -5,8 +5,8 @@ Each rule votes good (1) or bad (-1) or abstains (0) on a document's measures.
 and how often each class occurs, and each pattern gets the posterior probability that its documents are good.
 
 Edge cases: a null or empty text has no words and fails the base rules; ties at a posterior of one half keep the
-document; an empty table gives an empty result; repeated rows are judged alike; extra columns pass through, and
-columns named like the outputs are replaced.
+document; an empty table gives an empty result; repeated rows are judged alike; a text of any length is measured whole;
+extra columns pass through, and columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
