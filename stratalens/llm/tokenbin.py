@@ -10,7 +10,8 @@ File, all numbers little-endian: 8 bytes `WAVEMTX1`; 4 bytes, the length of a JS
 `lengths` (uint32), `alphabet` (uint32, in order of number) and, for each plane, `zeros` in the head and its packed bits.
 
 Edge cases: a null or empty text holds the end id alone; null ids come first; a text of any length stays in one shard;
-repeated rows are documents of their own; an empty table has no shard and gives an empty result.
+repeated rows are documents of their own, rows of one id are ordered by hash of the text; extra columns of any name are
+left out; an empty table has no shard and gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .bpe import ChunkIds
+from .bpe import RUNS, ChunkIds
 from .common import Stages, small_batches
 
 MAGIC = b"WAVEMTX1"
@@ -216,13 +218,23 @@ class CachedTokenizer:
             return array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def encode_packed(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._pack(text)
-        packed = self.chunks.text(text)
-        return self._pack(text) if packed is None else packed
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all texts.  A chunk is looked up once a batch, not at each place."""
+        whole = {k: self._pack(t) for k, t in enumerate(texts) if t and (RUNS.search(t) or any(s in t for s in self.special))}
+        words = pc.split_pattern(pa.array(["" if k in whole else t or "" for k, t in enumerate(texts)], pa.string()), " ")
+        starts, chunks = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        at = chunks.indices.to_numpy().copy()
+        packed = list(map(self.chunks.__getitem__, chunks.dictionary.to_pylist()))
+        # a text's first chunk has no space before it
+        at[starts[:-1]] = np.arange(len(texts)) + len(packed)
+        line = self.chunks.line
+        packed += [whole[k] if k in whole else line[w] if w else b"" for k, w in enumerate(words.flatten().take(pa.array(starts[:-1])).to_pylist())]
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+        flat, first = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(size) - size
+        each = size[at]
+        end = np.cumsum(each)
+        places = np.repeat(first[at] - (end - each), each) + np.arange(end[-1] if len(end) else 0)
+        return np.diff(np.concatenate([[0], end])[starts]), flat[places]
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
@@ -246,22 +258,23 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, i
         own, context = _tokenizers[tokenizer_path], TaskContext.get()
         fs, base = store(folder)
         fs.create_dir(base, recursive=True)
-        part, seq, end = context.partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, seq, end = context.partitionId(), 0, np.array([end_id], "<u4")
         ids, lengths, held, size = [], [], [], 0
 
         def close() -> pa.RecordBatch:
             path = f"{base}/shard-{part:06d}-{seq:05d}-{context.taskAttemptId()}.wm"
             with fs.open_output_stream(path) as f:
-                f.write(dump(ids, lengths, np.frombuffer(b"".join(held), "<u4")))
+                f.write(dump(ids, lengths, np.concatenate(held)))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64())], names=["part", "seq", "path", "n_docs", "n_tokens"])
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packed = own.encode_packed(t) + end
+            sizes, tokens = own.encode(batch.column(1).to_pylist())
+            upto = np.cumsum(sizes)
+            for i, n, e in zip(batch.column(0).to_pylist(), sizes.tolist(), upto.tolist(), strict=True):
                 ids.append(i)
-                lengths.append(len(packed) // 4)
-                held.append(packed)
-                size += len(packed) // 4
+                lengths.append(n + 1)
+                held += [tokens[e - n : e], end]
+                size += n + 1
                 if size >= shard_tokens:
                     yield close()
                     ids, lengths, held, size = [], [], [], 0
