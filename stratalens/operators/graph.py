@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,12 @@ from ..plans.projection import frame, with_
 
 
 class Rounds:
-    """Written state of a loop."""
+    """Written state of a loop, in the folder that all executors share; a local one only on a local master."""
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_stratalens_root", None)
+        if not root and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not root:
             root = spark._stratalens_root = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         self.spark, self.base, self.n = spark, f"{root.rstrip('/')}/stratalens/{name}-{uuid.uuid4().hex}", 0
@@ -29,7 +32,20 @@ class Rounds:
         self.n += 1
         path = f"{self.base}/{self.n:04d}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back.rounds_path = path
+        return back
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete written state that no later plan reads."""
+        for f in frames:
+            if hasattr(f, "rounds_path"):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f.rounds_path)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A walk's levels are put together in one table each time there are so many.
+COMPACT = 4
 
 
 def best_edges(edges: DataFrame) -> DataFrame:
@@ -40,22 +56,54 @@ def best_edges(edges: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth: int | None = None) -> DataFrame:
     """(root, id, dist, confidence, review) for what each seed (id) reaches, itself at 0.
 
-    Among shortest paths the one whose weakest edge is strongest counts; review if an edge on any such path needs it.
+    Among shortest paths the one whose weakest edge is strongest counts (of equal ones, one without edges for review);
+    confidence and review are both of that path.
     """
     rounds = Rounds(edges.sparkSession, "bfs")
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     steps = rounds.write(edges.select(F.col(a).alias("id"), F.col(b).alias("to"), F.col("confidence").alias("c"), F.col("review").alias("v")))
     start = seeds.select(F.col("id").alias("root"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("confidence"), F.lit(False).alias("review")).distinct()
-    seen = front = rounds.write(start)
-    level = 0
+    front = rounds.write(start)
+    parts, level = [front], 0
+    while depth is None or level < depth:
+        level += 1
+        path = F.struct(F.least("confidence", "c").alias("confidence"), (~F.col("review") & ~F.col("v")).alias("sure"))
+        found = front.join(steps, "id").groupBy("root", F.col("to").alias("id")).agg(F.max(path).alias("p"))
+        found = found.select("root", "id", F.lit(level).alias("dist"), "p.confidence", (~F.col("p.sure")).alias("review"))
+        for seen in parts:
+            found = found.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        front = rounds.write(found)
+        if front.isEmpty():
+            break
+        parts.append(front)
+        if len(parts) > COMPACT:
+            whole = rounds.write(reduce(DataFrame.unionByName, parts))
+            rounds.drop(*parts[:-1])
+            parts = [whole]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def reached(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth: int | None = None) -> DataFrame:
+    """(id, dist): the least distance from any of the seeds (id), themselves at 0.  One row a vertex, however many seeds."""
+    rounds = Rounds(edges.sparkSession, "reached")
+    a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    steps = rounds.write(edges.select(F.col(a).alias("id"), F.col(b).alias("to")).distinct())
+    front = rounds.write(seeds.select("id", F.lit(0).alias("dist")).distinct())
+    parts, level = [front], 0
     while depth is None or level < depth:
         level += 1
-        found = front.join(steps, "id").groupBy("root", F.col("to").alias("id")).agg(F.lit(level).alias("dist"), F.max(F.least("confidence", "c")).alias("confidence"), F.max(F.col("review") | F.col("v")).alias("review"))
-        front = rounds.write(found.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
+        found = front.join(steps, "id").select(F.col("to").alias("id"), F.lit(level).alias("dist")).distinct()
+        for seen in parts:
+            found = found.join(seen.select("id"), "id", "left_anti")
+        front = rounds.write(found)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        parts.append(front)
+        if len(parts) > COMPACT:
+            whole = rounds.write(reduce(DataFrame.unionByName, parts))
+            rounds.drop(*parts[:-1])
+            parts = [whole]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -90,21 +138,57 @@ def pagerank(edges: DataFrame, turns: int = 50, damping: float = 0.85) -> DataFr
     return rank.select("id", "rank")
 
 
-def communities(edges: DataFrame, turns: int = 10) -> DataFrame:
-    """(id, community) by weighted label propagation: each vertex takes the label of most weight around it.
+def communities(weights: DataFrame, nodes: DataFrame, passes: int = 5, turns: int = 12) -> DataFrame:
+    """(id, community) by modularity: local moves, then the same again between communities (Louvain's method in turns).
 
-    Half of the vertices (by hash and turn) move at a time, which keeps pairs from swapping labels for ever; ties go to
-    the least label.
+    weights (a, b, w) is undirected, a pair may come in many rows; nodes (id) without an edge are communities of their
+    own.  In a turn half of the vertices (by hash) may move to the neighbouring community of the greatest gain, if that
+    is above none; moves at once can spoil each other, so a turn that lowers modularity is taken back and ends the pass.
     """
-    rounds = Rounds(edges.sparkSession, "communities")
-    w = edges.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.count(F.lit(1)).alias("w")).where("a <> b")
-    both = rounds.write(w.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(w.select("b", "a", "w")))
-    label = both.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id"))
-    for turn in range(turns):
-        votes = both.join(label.select(F.col("id").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy(F.col("u").alias("id")).agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("best"))
-        moves = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
-        label = rounds.write(label.join(best, "id").select("id", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community")))
+    rounds = Rounds(weights.sparkSession, "communities")
+    pairs = weights.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("w").cast("double")).alias("w"))
+    level = rounds.write(pairs)
+    total = level.agg(F.sum("w")).first()[0] or 0.0
+    label = rounds.write(nodes.select("id").distinct().withColumn("community", F.col("id")))
+    if not total:
+        return label
+    for turn_of in range(passes):
+        both = rounds.write(level.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(level.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
+        loops = level.where("a = b").select(F.col("a").alias("id"), (2 * F.col("w")).alias("d"))
+        degree = rounds.write(both.select(F.col("u").alias("id"), F.col("w").alias("d")).unionByName(loops).groupBy("id").agg(F.sum("d").alias("k")))
+        own = rounds.write(degree.select("id", F.col("id").alias("community")))
+
+        def quality(labels: DataFrame) -> float:
+            la, lb = labels.select(F.col("id").alias("a"), F.col("community").alias("ca")), labels.select(F.col("id").alias("b"), F.col("community").alias("cb"))
+            inside = level.join(la, "a").join(lb, "b").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+            held = degree.join(labels, "id").groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+            return inside / total - held / (4 * total * total)
+
+        best, start = quality(own), None
+        start = best
+        for turn in range(turns):
+            sizes = degree.join(own, "id").groupBy("community").agg(F.sum("k").alias("size"))
+            near = both.join(own.select(F.col("id").alias("v"), "community"), "v").groupBy(F.col("u").alias("id"), "community").agg(F.sum("w").alias("to"))
+            here = degree.join(own, "id").select("id", "k", F.col("community").alias("home"))
+            gain = near.join(here, "id").join(sizes, "community")
+            inner = F.when(F.col("community") == F.col("home"), F.col("size") - F.col("k")).otherwise(F.col("size"))
+            gain = gain.withColumn("g", F.col("to") - F.col("k") * inner / (2 * total))
+            stay = sizes.withColumnRenamed("community", "home").join(here, "home").select("id", "home", (-F.col("k") * (F.col("size") - F.col("k")) / (2 * total)).alias("alone"))
+            top = gain.groupBy("id").agg(F.max(F.when(F.col("community") == F.col("home"), F.col("g"))).alias("kept"), F.max_by("community", F.struct("g", "community")).alias("new"), F.max("g").alias("g"))
+            may = F.pmod(F.xxhash64("id", F.lit(turn), F.lit(turn_of)), F.lit(2)) == 0
+            moved = stay.join(top, "id", "left").select("id", F.when(may & (F.col("g") > F.coalesce("kept", "alone") + 1e-12), F.col("new")).otherwise(F.col("home")).alias("community"))
+            moved = rounds.write(moved)
+            now = quality(moved)
+            if now <= best + 1e-12:
+                if turn % 2:
+                    break
+                continue
+            own, best = moved, now
+        if best <= start + 1e-12:
+            break
+        label = rounds.write(label.join(own.select(F.col("id").alias("community"), F.col("community").alias("up")), "community", "left").select("id", F.coalesce("up", "community").alias("community")))
+        la, lb = own.select(F.col("id").alias("a"), F.col("community").alias("ca")), own.select(F.col("id").alias("b"), F.col("community").alias("cb"))
+        level = rounds.write(level.join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
     return label
 
 
@@ -212,7 +296,8 @@ def centrality(spark, sf_dir):
 
 def call_communities(spark, sf_dir):
     """2.5-10: communities of the call graph."""
-    return communities(_edges(spark, sf_dir, "rel_type = 'CALLS'"))
+    e = _edges(spark, sf_dir, "rel_type = 'CALLS'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(1).alias("w"))
+    return communities(e, e.select(F.col("a").alias("id")).union(e.select("b")))
 
 
 def shard_modularity(spark, sf_dir):
@@ -270,14 +355,14 @@ def _seed(*names: str) -> str:
 _JOBS = "SELECT DISTINCT source_id AS root, source_id AS id FROM edge WHERE rel_type = 'EXECUTES'"
 
 
-def _rank_sql(count: int) -> str:
+def _rank_sql(count: int, edge: str = "edge") -> str:
     """Oracle: PageRank by so many turns, each a table of its own."""
     turns = ["r0 AS MATERIALIZED (SELECT id, o, 1.0E0 / n AS r FROM node, total)"]
     for k in range(count):
         turns.append(
             f"r{k + 1} AS MATERIALIZED (SELECT node.id, node.o, 0.15E0 / n + 0.85E0 * (coalesce(g.got, 0) + lost / n) AS r FROM node CROSS JOIN total CROSS JOIN (SELECT coalesce(sum(r), 0) AS lost FROM r{k} WHERE o IS NULL) l LEFT JOIN (SELECT s.y AS id, sum(p.r * s.k / p.o) AS got FROM s JOIN r{k} p ON p.id = s.x GROUP BY s.y) g ON g.id = node.id)"
         )
-    return f"""WITH s AS MATERIALIZED (SELECT source_id AS x, target_id AS y, count(*) AS k FROM edge WHERE rel_type IN ('CALLS', 'EXECUTES') GROUP BY 1, 2), outs AS (SELECT x, sum(k) AS o FROM s GROUP BY x),
+    return f"""WITH s AS MATERIALIZED (SELECT source_id AS x, target_id AS y, count(*) AS k FROM {edge} WHERE rel_type IN ('CALLS', 'EXECUTES') GROUP BY 1, 2), outs AS (SELECT x, sum(k) AS o FROM s GROUP BY x),
         node AS MATERIALIZED (SELECT v.id, outs.o FROM (SELECT x AS id FROM s UNION SELECT y FROM s) v LEFT JOIN outs ON outs.x = v.id), total AS (SELECT count(*) AS n FROM node), {", ".join(turns)} SELECT id, round(r, 9) AS rank FROM r{count} WHERE id LIKE 'P%'"""
 
 
