@@ -16,8 +16,10 @@ left out; an empty table has no shard and gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .bpe import RUNS, ChunkIds
+from .bpe import RUNS
 from .common import Stages, small_batches
 
 MAGIC = b"WAVEMTX1"
@@ -194,14 +196,35 @@ def byte_letters() -> dict[int, int]:
 BYTE_LETTERS = byte_letters()
 
 
+class TwoAges:
+    """Packed ids by piece, in two generations: when the young one has `limit` entries, it becomes the old one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def have(self, pieces: list[str]) -> list[bytes | None]:
+        got = list(map(self.young.get, pieces))
+        miss = [i for i, g in enumerate(got) if g is None]
+        for i, g in zip(miss, list(map(self.old.get, [pieces[i] for i in miss])), strict=True):
+            if g is not None:
+                got[i] = self.young[pieces[i]] = g
+        return got
+
+    def keep(self, pieces: list[str], ids: list[bytes]) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(zip(pieces, ids, strict=True))
+
+
 class CachedTokenizer:
-    """The tokenizers library, asked once for each chunk between spaces.
+    """The tokenizers library, asked once for each piece of the chunks between spaces.
 
-    See ChunkIds for why a chunk's ids don't depend on its neighbours; texts in which a run of white space would be cut,
-    or with a special token's string, are given to the library whole.
+    No match of the pattern goes on from a character that isn't white space into white space, nor from letters into
+    signs or back, so a chunk's ids are those of its parts: lines, and a word of letters and the signs after it.  Texts in
+    which a run of white space would be cut, or with a special token's string, are given to the library whole.
     """
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -211,24 +234,70 @@ class CachedTokenizer:
         self.bare = pre["normalizer"] is None and pre["pre_tokenizer"]["type"] == "ByteLevel" and not pre["pre_tokenizer"]["add_prefix_space"]
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks = ChunkIds(self._pack, " ", cache)
+        self.spaced, self.first, self.signs = TwoAges(cache), TwoAges(cache // 4), TwoAges(20_000)
 
     def _pack(self, chunk: str) -> bytes:
-        if self.bare and chunk[chunk[0] == " " :].isalpha():
-            return array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def _pieces(self, ages: TwoAges, pieces: list[str], space: str) -> dict[str, bytes]:
+        """The ids of distinct pieces, each with `space` before it."""
+        got = ages.have(pieces)
+        new = [p for p, g in zip(pieces, got, strict=True) if g is None]
+        words = [p for p in new if self.bare and p.isalpha()]
+        # all new words in one go to the letters that stand for their bytes
+        letters = "\n".join(words).encode().decode("latin-1").translate(BYTE_LETTERS | {10: 10}).split("\n") if words else []
+        lead, model = space.translate(BYTE_LETTERS), self.model.tokenize
+        made = [array("I", [t.id for t in model(lead + x)]).tobytes() for x in letters]
+        others = [p for p in new if not (self.bare and p.isalpha())]
+        made += [self._pack(space + p) for p in others]
+        ages.keep(words + others, made)
+        return dict(zip(pieces, got, strict=True)) | dict(zip(words + others, made, strict=True))
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, each with a space before it."""
+        got = list(map(self.spaced.young.get, chunks))
+        plan, heads, tails, signs = [], {}, {}, {"\n": None}
+        for i, g in enumerate(got):
+            if g is None:
+                parts = []
+                for k, line in enumerate(chunks[i].split("\n")):
+                    body = line.rstrip(string.punctuation)
+                    if not body.isalpha():
+                        body = line
+                        if line.split() != [line]:
+                            # white space at a line's end or within may be one match with the line's end
+                            parts, body = [], ""
+                            break
+                    (tails if k else heads)[body] = None
+                    after = line[len(body) :]
+                    if after:
+                        signs[after] = None
+                    parts.append((body, after))
+                if not parts:
+                    heads[chunks[i]] = None
+                    parts = [(chunks[i], "")]
+                plan.append((i, parts))
+        head, tail, sign = (self._pieces(ages, list(want), space) for ages, want, space in ((self.spaced, heads, " "), (self.first, tails, ""), (self.signs, signs, "")))
+        end = sign["\n"]
+        for i, parts in plan:
+            body, after = parts[0]
+            ids = head[body] + sign[after] if after else head[body]
+            for body, after in parts[1:]:
+                ids += end + tail[body] + (sign[after] if after else b"")
+            got[i] = ids
+        return got
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text has, and the ids of all texts.  A chunk is looked up once a batch, not at each place."""
         whole = {k: self._pack(t) for k, t in enumerate(texts) if t and (RUNS.search(t) or any(s in t for s in self.special))}
         words = pc.split_pattern(pa.array(["" if k in whole else t or "" for k, t in enumerate(texts)], pa.string()), " ")
         starts, chunks = words.offsets.to_numpy(), words.flatten().dictionary_encode()
         at = chunks.indices.to_numpy().copy()
-        packed = list(map(self.chunks.__getitem__, chunks.dictionary.to_pylist()))
+        packed = self._chunks(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
         # a text's first chunk has no space before it
         at[starts[:-1]] = np.arange(len(texts)) + len(packed)
-        line = self.chunks.line
-        packed += [whole[k] if k in whole else line[w] if w else b"" for k, w in enumerate(words.flatten().take(pa.array(starts[:-1])).to_pylist())]
+        firsts = words.flatten().take(pa.array(starts[:-1])).to_pylist()
+        packed += [whole[k] if k in whole else self._pack(w) if w else b"" for k, w in enumerate(firsts)]
         size = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
         flat, first = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(size) - size
         each = size[at]
@@ -267,6 +336,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, i
                 f.write(dump(ids, lengths, np.concatenate(held)))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64())], names=["part", "seq", "path", "n_docs", "n_tokens"])
 
+        gc.disable()  # a batch makes many short-lived lists and no cycles; looking for those costs a fifth of the time
         for batch in batches:
             sizes, tokens = own.encode(batch.column(1).to_pylist())
             upto = np.cumsum(sizes)
@@ -279,6 +349,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, i
                     yield close()
                     ids, lengths, held, size = [], [], [], 0
                     seq += 1
+        gc.enable()
         if ids:
             yield close()
 
