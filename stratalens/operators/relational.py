@@ -301,8 +301,9 @@ def service_metrics(d: D):
 # 2.4-31: event discovery: producers and consumers of what is written
 @q
 def event_discovery(d: D):
-    return f"""SELECT w.event_name, w.tab, count(DISTINCT w.program_id) AS producers, {d.joined('r.program_id')} AS consumers FROM (SELECT DISTINCT concat(tab, 'Written') AS event_name, tab, program_id FROM access WHERE rel_type = 'WRITES') w
-        LEFT JOIN (SELECT DISTINCT tab, program_id FROM access WHERE rel_type = 'READS') r ON r.tab = w.tab GROUP BY w.event_name, w.tab"""
+    # each side is grouped first, so writers and readers of one table never multiply
+    return f"""SELECT w.event_name, w.tab, w.producers, coalesce(r.consumers, '') AS consumers FROM (SELECT concat(tab, 'Written') AS event_name, tab, count(DISTINCT program_id) AS producers FROM access WHERE rel_type = 'WRITES' GROUP BY tab) w
+        LEFT JOIN (SELECT tab, {d.joined('program_id')} AS consumers FROM access WHERE rel_type = 'READS' GROUP BY tab) r ON r.tab = w.tab"""
 
 
 # 2.4-32: domain discovery: weighted votes of name tokens

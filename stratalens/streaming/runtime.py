@@ -1,7 +1,7 @@
 """The runtime feed as a stream or a table: the same functions take either.
 
 Tumbling, sliding and session windows keep one state row per key and window and let it go behind the watermark.
-accumulate() keeps counts and the first and last sight in order of import, as a merge of small batches.
+accumulate() keeps counts and the first and last sight in order of import, as sums of small batches.
 """
 
 from __future__ import annotations
@@ -41,13 +41,23 @@ def accumulate(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def keep_accumulated(observations: DataFrame, table: str, checkpoint: str):
-    """Merge a stream of observations into the Parquet folders table/00000, table/00001, ...; each batch writes the next.
+    """Keep a stream of observations as sums of its batches, in the Parquet folders table/00000, table/00001, ...
 
-    A batch that runs again after a failure reads its predecessor and overwrites its own folder, so it counts once.
+    A batch writes what it adds, in proportion to its own size; one that runs again overwrites its own folder, so it
+    counts once.  accumulated() puts them together.
     """
 
-    def merge(batch: DataFrame, k: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{table}/{k - 1:05d}") if k else None
-        accumulate(old, batch).write.mode("overwrite").parquet(f"{table}/{k:05d}")
+    def keep(batch: DataFrame, k: int) -> None:
+        accumulate(None, batch).write.mode("overwrite").parquet(f"{table}/{k:05d}")
 
-    return observations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return observations.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def accumulated(spark: SparkSession, table: str) -> DataFrame:
+    """All observations that keep_accumulated() has kept."""
+    return accumulate(None, spark.read.parquet(f"{table}/*"))
+
+
+def compact(spark: SparkSession, table: str, into: str) -> None:
+    """accumulated() as one folder, into/00000: to be read in table's place."""
+    accumulated(spark, table).write.mode("overwrite").parquet(f"{into}/00000")
