@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 KINDS = ("email", "secret", "iban", "date", "ip", "ssn", "card", "phone")
 ROUNDS = 8
 
@@ -345,11 +347,10 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """df with pseudonyms in its texts, and found (array of struct kind, value, pseudonym, in order of the text)."""
     base = df.drop(*[c for c in df.columns if c in ("found",)])
-    own = "__text_parts"
+    own, cut = (fresh(n, *base.columns, "found") for n in ("changed", "parts"))
     hit = F.col(text).rlike("[0-9@]")
     matches = F.when(hit, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     named = F.transform(matches, lambda m: F.transform(segments_of(m), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key).alias("pseudonym"))))
-    cut = "__text_found"
     got = base.withColumn(cut, named).withColumn("found", F.flatten(cut))
     parts = F.split(F.col(text), ANY, -1)
     new = lambda m: F.coalesce(F.array_join(F.transform(m, lambda s: s["pseudonym"]), ""), F.lit(""))

@@ -90,10 +90,14 @@ def test_templates_that_rewrite_history_are_seen():
         chat.spans([("user", "a"), ("assistant", "b")], last_only)
 
 
-def test_long_conversations_give_the_same_spans():
+def test_long_conversations_are_rendered_by_all_prefixes():
     turns = [("assistant" if k % 2 else "user", f"t{k}" * (k % 5)) for k in range(300)]
     for template in (chat.marked, _bos, lambda t: "".join(f"{len(t[:k])}{x[1]}|" for k, x in enumerate(t))):
-        assert chat.spans(turns, template) == chat._prefix_spans(turns, template)
+        whole, found = chat.spans(turns, template)
+        assert whole == template(turns) and found == [(len(template(turns[:k])), len(template(turns[: k + 1]))) for k in range(300)]
+    late = lambda t: "".join(x[1] if len(t) < 80 else x[1].upper() for x in t)
+    assert chat.format_turns([("user", f"t{k}") for k in range(100)], late)["rewrites"]
+    assert not chat.format_turns([("user", f"t{k}") for k in range(79)], late)["rewrites"]
 
 
 def test_conversations_are_read_back(spark):
