@@ -129,7 +129,7 @@ def _between(text: Column, start: str, end: str) -> Column:
 
 def _listed(text: Column) -> Column:
     """The parts of a list, in parentheses or not."""
-    return F.transform(F.split(F.regexp_replace(text, r"^\s*\(|\)\s*$", ""), ","), F.trim)
+    return F.transform(F.split(F.regexp_replace(text, r"^\s*\(|\)\s*$", ""), ","), lambda x: F.trim(x))
 
 
 def sql_lineage(members: DataFrame) -> DataFrame:
