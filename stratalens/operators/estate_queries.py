@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans import vocabulary as V
 from ..plans.projection import frame, with_
+from . import assemble, extraction
 from . import graph as G
 from .estate_graph import Estate, group_labels
 
@@ -355,6 +356,33 @@ def estate_communities(spark, sf_dir):
     return found.join(group_labels(found.select("community", F.substring_index("id", ":", -1).alias("name"))), "community")
 
 
+@query(
+    """WITH t AS (SELECT event_id, event_type, concat('P', CAST(user_id AS VARCHAR)) AS p, concat('T', regexp_extract(props, '([0-9]+)', 1)) AS tab FROM events),
+    e AS (SELECT concat('PROGRAM:E', CAST(event_id AS VARCHAR)) AS s, CASE event_type WHEN 'purchase' THEN 'WRITES' WHEN 'signup' THEN 'READS' ELSE 'CALLS' END AS rel_type, CASE event_type WHEN 'purchase' THEN concat('TABLE:', tab) WHEN 'signup' THEN concat('DATASET:', tab) WHEN 'error' THEN 'PROGRAM:WS-PGM' ELSE concat('PROGRAM:', p) END AS d,
+      CASE event_type WHEN 'view' THEN 'inferred' WHEN 'error' THEN 'needs_review' ELSE 'confirmed' END AS status, CASE event_type WHEN 'view' THEN 'inference' WHEN 'error' THEN 'dynamic' WHEN 'signup' THEN 'cics' ELSE 'static' END AS method FROM t),
+    j AS (SELECT DISTINCT concat('JOB:J', CAST(l_orderkey AS VARCHAR)) AS s, 'EXECUTES' AS rel_type, concat('PROGRAM:P', CAST(l_partkey AS VARCHAR)) AS d, 'confirmed' AS status, 'static' AS method FROM lineitem),
+    k AS (SELECT DISTINCT concat('JOB:J', CAST(l_orderkey AS VARCHAR)) AS s, CASE l_returnflag WHEN 'R' THEN 'WRITES' WHEN 'A' THEN 'READS' ELSE 'USES' END AS rel_type, concat('DATASET:SUPP.D', CAST(l_suppkey AS VARCHAR), CASE WHEN l_linestatus = 'O' THEN '.&ENV' ELSE '' END) AS d, CASE WHEN l_linestatus = 'O' THEN 'needs_review' ELSE 'confirmed' END AS status, 'static' AS method FROM lineitem),
+    r AS (SELECT * FROM e UNION ALL SELECT * FROM j UNION ALL SELECT * FROM k)
+    SELECT rel_type, split_part(d, ':', 1) AS target_type, status, method, count(*) AS n, count(DISTINCT d) AS targets FROM r GROUP BY 1, 2, 3, 4""",
+    recursive=False,
+)
+def estate_assembled(spark, sf_dir):
+    """1.3, 2.4-45, 2.8-9: an estate from source members of two kinds, extracted, merged and counted."""
+    cobol = extraction.programs(spark, sf_dir).withColumn("artifact_type", F.lit("cobol"))
+    e = assemble.build(cobol.unionByName(extraction.jobs(spark, sf_dir).withColumn("artifact_type", F.lit("jcl"))))
+    return e.relationships.groupBy("rel_type", F.substring_index("target_id", ":", 1).alias("target_type"), "status", "method").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target_id").alias("targets"))
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT concat('PROGRAM:P', CAST(l_partkey AS VARCHAR)) AS id FROM lineitem), c AS (SELECT DISTINCT concat('PROGRAM:P', CAST(user_id AS VARCHAR)) AS id FROM events WHERE event_type IN ('click', 'view')), o AS (SELECT concat('PROGRAM:E', CAST(event_id AS VARCHAR)) AS id FROM events WHERE event_type = 'signup') SELECT id FROM r WHERE id NOT IN (SELECT id FROM c) UNION SELECT id FROM o",
+    recursive=False,
+)
+def estate_assembled_roots(spark, sf_dir):
+    """2.4-6 from source members on."""
+    cobol = extraction.programs(spark, sf_dir).withColumn("artifact_type", F.lit("cobol"))
+    return assemble.build(cobol.unionByName(extraction.jobs(spark, sf_dir).withColumn("artifact_type", F.lit("jcl")))).roots()
+
+
 def queries() -> dict:
     return dict(Q)
 

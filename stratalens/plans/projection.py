@@ -69,9 +69,11 @@ def with_(sql: str, recursive: bool = False) -> str:
             add(k)
     own = ", ".join(f"{k} AS ({CTES[k]})" for k in order)
     head = "WITH RECURSIVE " if recursive else "WITH "
+    if not own:
+        return sql.lstrip().replace("WITH ", head, 1) if sql.lstrip().startswith("WITH ") else sql
     if sql.lstrip().startswith("WITH "):
         return f"{head}{own}, {sql.lstrip()[5:]}"
-    return f"{head}{own} {sql}" if own else sql
+    return f"{head}{own} {sql}"
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
