@@ -548,6 +548,14 @@ class Estate:
         r = self._rel(rel.upper()).select("source_id", "target_id")
         return r.join(s.select(F.col("asset_id").alias("source_id"), F.col("name").alias("left_name")), "source_id").join(t.select(F.col("asset_id").alias("target_id"), F.col("name").alias("right_name")), "target_id").groupBy("left_name", "right_name").agg(F.count(F.lit(1)).alias("weight")).orderBy(F.desc("weight"), "left_name", "right_name").limit(5000)
 
+    def run_insights(self) -> DataFrame:
+        """(kind, title, detail) that a run says of itself: its inventory, its entry points and its gaps."""
+        kinds = self.assets.groupBy("asset_type").agg(F.count(F.lit(1)).alias("n")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset_type", "n"))))).alias("detail"))
+        roots = self.entry_points().agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("id")), 1, 20), ",").alias("detail"))
+        gaps = self.relationships.agg(F.count_if(F.col("status").isin(*RISKY)).alias("n")).crossJoin(self.assets.agg(F.count_if(F.col("state") == "UNRESOLVED").alias("u")))
+        row = lambda df, kind, title, detail: df.select(F.lit(kind).alias("kind"), title.alias("title"), detail.alias("detail"))
+        return row(kinds, "INVENTORY", F.lit("assets by type"), F.col("detail")).unionByName(row(roots, "ROOT", F.concat(F.col("n"), F.lit(" entry points")), F.col("detail"))).unionByName(row(gaps, "GAPS", F.concat(F.col("n"), F.lit(" relationships need review")), F.concat(F.col("u"), F.lit(" assets without a source"))))
+
     # --- coverage and validation -------------------------------------------------------------------------------------
     def coverage(self, roots: DataFrame, depth: int = 3, limit: int = 600) -> DataFrame:
         """(asset_id, k, check_name, status, confidence, edges) for each of roots (asset_id): 29 checks on what leaves it within the depth.

@@ -205,6 +205,17 @@ def data_items(members: DataFrame) -> DataFrame:
     return each.select("path", (F.col("k") + 1).alias("line"), F.get("w", F.lit(0)).cast("int").alias("level"), F.get("w", F.lit(1)).alias("name"), pic.alias("pic"), usage.alias("usage"), after("REDEFINES").alias("redefines"), after("OCCURS").try_cast("int").alias("occurs"), T.pic_length(pic, usage).alias("bytes"))
 
 
+def with_parents(items: DataFrame) -> DataFrame:
+    """data_items() with the group that each stands in: the nearest item above of a lower level; 01 and 77 have none.
+
+    A member's items are one record's, so they are met in one array a member.
+    """
+    held = items.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "level", "name"))).alias("all"))
+    above = F.filter("all", lambda x: (x["line"] < F.col("line")) & (x["level"] < F.col("level")))
+    deepest = F.when(~F.col("level").isin(1, 77), F.try_element_at(above, F.lit(-1))["name"])
+    return items.join(held, "path").withColumn("parent", deepest).drop("all")
+
+
 def record_lengths(items: DataFrame) -> DataFrame:
     """Estimated bytes of each member's records: elementary items that don't redefine others."""
     counts = F.col("pic").isNotNull() & F.col("redefines").isNull() & (F.col("level") != 88)

@@ -53,3 +53,22 @@ class Router:
                 args = [g.upper().strip("'\"") for g in m.groups() if g][:1]
                 return answer(*args), {"intent": name, "steps": tried, "evidence": evidence, "reason": f"matched {m[0]!r}"}
         return self.edges.limit(0), {"intent": "unknown", "steps": tried, "evidence": "", "reason": "no pattern fits"}
+
+
+class EstateRouter(Router):
+    """The same over an Estate, with the questions that need one."""
+
+    def __init__(self, estate):
+        programs = estate.programs().select(F.col("name").alias("program_id"))
+        edges = estate.relationships.select(F.substring_index("source_id", ":", -1).alias("source_id"), "rel_type", F.substring_index("target_id", ":", -1).alias("target_id"), "confidence", "status")
+        super().__init__(programs, edges)
+        own = [
+            ("dead_code", r"\b(?:dead|unused|unreachable)\b", estate.dead_code, "programs less what roots reach over confirmed edges"),
+            ("roots", r"\b(?:roots?|entry points?|drivers?)\b(?!.*\bchain\b)", estate.roots, "executed, started or online programs that nothing calls"),
+            ("chain", r"\bchain\b.*?\b(?:of|from|for)\s+(\S+)", lambda x: estate.root_driver_chain(x)[0], "what a driver reaches"),
+            ("capability", r"\bcapabilit(?:y|ies)\b(?:.*?\b(?:of|for|about)\s+(.+))?", lambda *x: estate.capability_search(x[0]) if x else estate.capabilities(), "roots with their closures, or assets by key words"),
+            ("rules", r"\brules?\b(?:.*?\b(?:of|for|in|about)\s+(\S+))?", lambda *x: estate.rules(*x), "business rules and what implements them"),
+            ("stats", r"\b(?:stat(?:s|istics)?|summary|overview)\b", estate.summary, "counts of the run"),
+            ("validate", r"\b(?:valid(?:ate|ation)?|quality)\b", estate.validate, "checks of the run"),
+        ]
+        self.intents = own + self.intents[1:]

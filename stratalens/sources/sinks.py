@@ -53,6 +53,19 @@ def sectioned_csv(assets: DataFrame, relationships: DataFrame) -> DataFrame:
     return _stack(_one(assets, ",".join(a)), body(assets, a), _one(assets, ",".join(r)), body(relationships, r))
 
 
+def json_bundle(summary: DataFrame, programs: DataFrame, edges: DataFrame) -> DataFrame:
+    """A summary row, programs and edges as one JSON document's lines (section, k, line): an array a section."""
+    part = lambda df: df.select(F.to_json(F.struct(*df.columns)).alias("j"))
+    rows = lambda df: part(df).select(F.concat(F.lit("b"), F.col("j")).alias("k"), F.concat(F.col("j"), F.lit(",")).alias("line"))
+    return _stack(_one(programs, "{"), part(summary).select(F.lit("").alias("k"), F.concat(F.lit('"summary": '), F.col("j"), F.lit(",")).alias("line")), _one(programs, '"programs": ['), rows(programs), _one(programs, "null],", '"edges": ['), rows(edges), _one(programs, "null]}"))
+
+
+def write_tables(folder: str, **frames: DataFrame) -> None:
+    """Each frame as CSV with a header under folder/name, rows in order of all columns (files by range, no single task)."""
+    for name, df in frames.items():
+        df.orderBy(*df.columns).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+
+
 def pipe_index(df: DataFrame, *columns: str) -> DataFrame:
     """Rows as one pipe-delimited line each; pipes inside become slashes."""
     return df.select(F.concat_ws("|", *[F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("/")) for c in columns]).alias("line"))
@@ -89,10 +102,17 @@ def export_manifest(df: DataFrame, keys: list[str], limit: int | None = None) ->
     return total.crossJoin(F.broadcast(got)).select("total", "exported", (F.col("total") > F.col("exported")).alias("truncated"), "checksum")
 
 
-def scenarios(rules: DataFrame) -> DataFrame:
-    """Two test scenarios of each rule (rule_id, condition): one where it holds, one where it doesn't."""
+def scenarios(rules: DataFrame, smoke: bool = False) -> DataFrame:
+    """Two test scenarios of each rule (rule_id, condition): one where it holds, one where it doesn't.
+
+    smoke: without rules there is one scenario, that the program runs at all.
+    """
     both = F.explode(F.array(F.struct(F.lit("T").alias("branch"), F.lit("holds").alias("said")), F.struct(F.lit("F").alias("branch"), F.lit("does not hold").alias("said"))))
-    return rules.select("rule_id", "condition", both.alias("s")).select(F.concat_ws("-", "rule_id", "s.branch").alias("scenario_id"), F.concat_ws(" ", "condition", "s.said").alias("given"))
+    found = rules.select("rule_id", "condition", both.alias("s")).select(F.concat_ws("-", "rule_id", "s.branch").alias("scenario_id"), F.concat_ws(" ", "condition", "s.said").alias("given"))
+    if not smoke:
+        return found
+    none = rules.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("SMOKE").alias("scenario_id"), F.lit("the program runs").alias("given"))
+    return found.unionByName(none)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -263,3 +263,51 @@ def test_labels(spark):
     assert one("CRDPOST") == "Card Posting" and one("STMTGEN") == "Statement Generation" and one("ZZZ") == "ZZZ"
     got = {r.community: r.label for r in estate_graph.group_labels(spark.createDataFrame([("c", "AUTHVAL"), ("c", "AUTHTRN"), ("c", "PAYVAL"), ("d", "ZZ")], "community string, name string")).collect()}
     assert got == {"c": "Authorization / Validation", "d": "Unlabeled"}
+
+
+def test_table_columns_and_keys(spark):
+    text = "CREATE TABLE S.T1 (\n  A CHAR(4) NOT NULL, -- a, b\n  B DECIMAL(9, 2),\n  C INTEGER PRIMARY KEY,\n  CONSTRAINT PK PRIMARY KEY (A, B),\n  D VARCHAR(5) DEFAULT 'x,y');\nCREATE TABLE E ();"
+    got = [tuple(r) for r in members.ddl_facts(spark.createDataFrame([("p", text), ("q", None)], "path string, text string")).orderBy("position").collect()]
+    assert got == [("p", 2, "S.T1", 0, "A", "CHAR(4)", True, True), ("p", 3, "S.T1", 1, "B", "DECIMAL(9,2)", True, True), ("p", 4, "S.T1", 2, "C", "INTEGER", True, True), ("p", 6, "S.T1", 3, "D", "VARCHAR(5)", False, False)]
+
+
+def test_items_stand_in_groups(spark):
+    text = "000010 01  REC.\n000020     05  NAME-GROUP.\n           10 FIRST-NAME PICTURE IS X(4).\n       05 AMOUNT PIC S9(3)V99 COMP-3.\n       77 LONE PIC 9."
+    items = lines.with_parents(lines.data_items(spark.createDataFrame([("p", text)], "path string, text string")))
+    assert [(r.level, r.name, r.pic, r.parent) for r in items.orderBy("line").collect()] == [(1, "REC", None, None), (5, "NAME-GROUP", None, "REC"), (10, "FIRST-NAME", "X(4)", "NAME-GROUP"), (5, "AMOUNT", "S9(3)V99", "REC"), (77, "LONE", "9", None)]
+
+
+def test_exports_states_and_insights(spark, estate, tmp_path):
+    import json
+
+    from stratalens.sources import estate as sources
+    from stratalens.sources import sinks
+
+    edges = estate.relationships.select("source_id", "rel_type", "target_id")
+    lines_ = sinks.json_bundle(spark.range(1), estate.programs().select("name"), edges).orderBy("section", "k", "line").collect()
+    whole = json.loads("\n".join(r.line for r in lines_))
+    assert len(whole["programs"]) == 7 and whole["programs"][-1] is None and len(whole["edges"]) == edges.count() + 1
+    sinks.write_tables(str(tmp_path), edges=edges)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/edges").count() == edges.count()
+    assert [tuple(r) for r in sinks.scenarios(spark.createDataFrame([], "rule_id string, condition string"), smoke=True).collect()] == [("SMOKE", "the program runs")]
+    held = spark.createDataFrame([("a", "1", "materialized"), ("b", "1", "failed")], "path string, sha string, state string")
+    got = sources.enrichment_states(held, spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], "path string, sha string"))
+    assert {(r.path, r.state) for r in got.collect()} == {("a", "materialized"), ("b", "stale"), ("c", "pending")}
+    assert [r.kind for r in estate.run_insights().collect()] == ["INVENTORY", "ROOT", "GAPS"]
+
+
+def test_questions_of_an_estate(estate):
+    from stratalens.operators.router import EstateRouter
+
+    r = EstateRouter(estate)
+    said = {q: r.ask(q)[1]["intent"] for q in ("Which programs are dead?", "show the entry points", "driver chain of POSTDRV", "capabilities", "rules for BALUPD", "statistics", "validate the run", "who calls BALUPD")}
+    assert list(said.values()) == ["dead_code", "roots", "chain", "capability", "rules", "stats", "validate", "callers"]
+    assert ids(r.ask("roots")[0]) == {"POSTDRV", "STMTDRV", "AUTHTRN"}
+
+
+def test_folders_declare_types(spark):
+    from stratalens.sources import estate as sources
+
+    cases = [("x/app/cbl", "COBOL"), ("app/x/cbl", "UNKNOWN_TEXT"), ("ddl/dcl", "DCLGEN"), ("a/pl1/b", "PLI"), ("", "UNKNOWN_TEXT")]
+    df = spark.createDataFrame([(f, "plain") for f, _ in cases], "folder string, text string")
+    assert [r.t.type for r in df.select(sources.rule_type(F.col("text"), F.col("folder")).alias("t")).collect()] == [t for _, t in cases]
