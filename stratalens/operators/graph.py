@@ -371,6 +371,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "dead_code": _reach(f"{CONTROL} AND status = 'confirmed'", _JOBS, False, 24, "SELECT program_id FROM program WHERE program_id NOT IN (SELECT id FROM reach)"),
         "executing_jobs": _reach(CONTROL, _JOBS, False, 24, "SELECT id AS program_id, root AS job_id, dist FROM reach WHERE dist > 0"),
+        "capabilities": _reach(f"(({CONTROL} AND status = 'confirmed') OR rel_type IN ('READS', 'WRITES'))", _JOBS, False, 24, "SELECT root, count(*) FILTER (WHERE id LIKE 'P%') AS programs, count(*) FILTER (WHERE id LIKE 'T%') AS tables, max(dist) AS depth FROM reach GROUP BY root"),
+        "trace_down": _reach("rel_type = 'CALLS'", _seed("P1"), False, 8, "SELECT id, 'PROGRAM' AS kind, dist FROM reach UNION ALL SELECT e.target_id, 'TABLE', min(r.dist) + 1 FROM reach r JOIN edge e ON e.source_id = r.id AND e.rel_type IN ('READS', 'WRITES') GROUP BY e.target_id"),
+        "graph_slice": with_("WITH e AS (SELECT DISTINCT source_id AS x, target_id AS y FROM edge WHERE confidence >= 0.7), w AS (SELECT 'P5' AS id, 0 AS dist UNION SELECT y, 1 FROM e WHERE x = 'P5' UNION SELECT b.y, 2 FROM e a JOIN e b ON b.x = a.y WHERE a.x = 'P5' UNION SELECT x, 1 FROM e WHERE y = 'P5' UNION SELECT b.x, 2 FROM e a JOIN e b ON b.y = a.x WHERE a.y = 'P5') SELECT id, min(dist) AS dist FROM w GROUP BY id ORDER BY min(dist), id LIMIT 100"),
+        "expand_neighbors": with_("WITH e AS (SELECT source_id AS x, target_id AS y FROM edge WHERE rel_type = 'CALLS' UNION SELECT target_id, source_id FROM edge WHERE rel_type = 'CALLS'), w AS (SELECT id, 0 AS dist FROM (VALUES ('P1'), ('P9')) v(id) UNION SELECT e.y, w.dist + 1 FROM w JOIN e ON e.x = w.id WHERE w.dist < 3) SELECT id, min(dist) AS dist FROM w GROUP BY id", recursive=True),
         "blast_radius": _reach(ANY, _seed("T1"), True, 24, "SELECT id, dist, confidence FROM reach WHERE dist > 0"),
         "impact": _reach(ANY, _seed("T2"), True, 8, "SELECT substr(id, 1, 1) AS kind, dist, count(*) AS n FROM reach WHERE dist > 0 GROUP BY 1, 2"),
         "lineage": _reach(ANY, _seed("J1"), False, 6, flat),
