@@ -54,15 +54,18 @@ class TrigramModel:
         got = [self.table.get(g, self.unseen) for g in grams(word.lower())]
         return (*map(sum, zip(*got, strict=True)), float(len(got)))
 
-    def _of(self, word: str) -> tuple[float, ...]:
-        return self.words[word] if len(word) <= 64 else self._word(word)  # long words hardly come again: they aren't kept
+    def _of(self, words: list[str]) -> list[tuple[float, ...]]:
+        """Each word's sums; long words hardly come again, so they aren't kept."""
+        if max(map(len, words)) <= 64:
+            return list(map(self.words.__getitem__, words))
+        return [self.words[w] if len(w) <= 64 else self._word(w) for w in words]
 
     def tempered(self, text: str | None) -> list[float]:
         """Log likelihoods, scaled to EFFECTIVE trigrams where the text has more."""
         words = (text or "").split()
         if not words:
             return [0.0] * len(self.languages)
-        total = np.fromiter((x for w in map(self._of, words) for x in w), float, len(words) * (len(self.languages) + 1)).reshape(len(words), -1).sum(0)
+        total = np.fromiter((x for w in self._of(words) for x in w), float, len(words) * (len(self.languages) + 1)).reshape(len(words), -1).sum(0)
         return (total[:-1] * min(1.0, EFFECTIVE / total[-1])).tolist()
 
 
