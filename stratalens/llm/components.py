@@ -9,7 +9,7 @@ from .common import Stages
 
 
 def components(edges: DataFrame, stages: Stages) -> DataFrame:
-    """(v, comp) for each vertex of edges (a, b: long); comp is one vertex of its component.
+    """(v, comp) for each vertex of edges (a, b: of one ordered type); comp is one vertex of its component.
 
     Each round points every vertex to its least neighbour (or itself), follows pointers to their ends by doubling and
     contracts the edges; at least half of the vertices that still have edges go in a round.  All state is in written

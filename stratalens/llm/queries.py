@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, jaccard, langid, pii, quality, sharding, tokenbin, toxicity
+from . import bpe, chat, decontam, jaccard, langid, merkle, pii, quality, search, sharding, tokenbin, toxicity, urls
 from .common import Stages, table
+from .oracles import oracle_sql  # noqa: F401
 
 LANGUAGES = ["de", "en", "es", "fr"]
 PII_KEY = "stratalens-demo-key"
@@ -80,12 +81,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Host, path and action of the rules that op11_urls applies.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the id's crc32, the row checked has one more in n_chars."""
+    docs = table(spark, sf_dir, "documents")
+    leaf = merkle.leaf_of(*map(F.col, ("doc_id", "source", "lang", "n_chars", "text")))
+    fake = merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.try_add(F.col("n_chars"), F.lit(1)), F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    m = merkle.manifest(docs, "doc_id", "lang", leaf, F.when(tampered, fake))
+    root = merkle.folded(F.coalesce("forged", "leaf"), F.col("path"))
+    return m.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_bpe, op2_language_id, op3_toxicity, op4_pii, op5_jaccard, op6_token_ids, op7_chat, op8_decontamination, op9_quality, op10_sharding)
+    own = (op1_bpe, op2_language_id, op3_toxicity, op4_pii, op5_jaccard, op6_token_ids, op7_chat, op8_decontamination, op9_quality, op10_sharding, op11_urls, op12_search, op13_merkle)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
