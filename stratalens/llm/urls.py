@@ -125,6 +125,6 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     bad = stages.write(alias.join(blocked, "v").select("comp").distinct().withColumn("bad", F.lit(True)), "bad")
     alias = stages.write(alias.join(checked(bad), "comp", "left").select(F.col("v").alias("node"), "comp", "bad"), "alias")
     own = stages.write(ruled(read, rules, "row"), "ruled")
-    out = read.drop("links").join(checked(own), "row", "left").join(checked(alias), "node", "left")
+    out = read.drop("links").join(own, "row", "left").join(checked(alias), "node", "left")
     verdict = F.coalesce("action", F.when(F.col("bad"), F.lit("block")), F.lit("allow"))
     return out.select(F.col("id").alias(id), F.col("url"), "host", "path", "rule", verdict.alias("verdict"), F.lower(F.hex("comp")).alias("component"))
