@@ -7,10 +7,10 @@ remains, the group's subroot; subroots by group (null first) likewise give the r
 1. One pass over the table makes the leaves; all later work is on some hundred bytes a row.
 2. A range partition by (group, id, leaf, row number) and the counts of its partitions give every leaf its position
    within its group.  The row number makes that key unique, so neither a hot group nor equal rows fill one task.
-3. Blocks of BLOCK leaves at aligned positions are walked in postorder, one task call a block: the recursion returns a
+3. Blocks of 2 ** height leaves at aligned positions are walked in postorder, one task call a block: the recursion returns a
    subtree's digest and, while it unwinds, appends the siblings to the leaves contained.  Block roots are the nodes of
-   the next traversal, 1/BLOCK as many, until each group has one; subroots go the same way.
-4. Paths are joined downwards from the smallest traversal by (group, block), at most BLOCK rows a key.
+   the next traversal, a thousandth as many, until each group has one; subroots go the same way.
+4. Paths are joined downwards from the smallest traversal by (group, block), at most a block's rows a key.
 
 A step of a path is one byte for the sibling's side (`L`, `R`, or `N` for a lone node) and the sibling's digest.
 
@@ -31,8 +31,8 @@ from pyspark.sql import Window as W
 
 from .common import Stages
 
+#: Levels of a block: 1024 leaves.
 HEIGHT = 10
-BLOCK = 1 << HEIGHT
 #: Rows that a range partition is planned for, where that asks for more than spark.sql.shuffle.partitions.
 PART_ROWS = 2_000_000
 
@@ -68,12 +68,7 @@ def walk(leaves: list[str], paths: list[list[bytes]], lo: int, height: int) -> s
     return digest(left + right)
 
 
-def _height(size: int) -> int:
-    """Levels of a block in a group of size nodes: all HEIGHT of them unless it is the only block."""
-    return min(HEIGHT, (size - 1).bit_length())
-
-
-def _traversed(nodes: DataFrame) -> DataFrame:
+def _traversed(nodes: DataFrame, height: int) -> DataFrame:
     """nodes (g, pos, size, digest, ...) with block, the path within it and the block's digest, top."""
     schema = T.StructType([*nodes.schema, T.StructField("block", T.LongType()), T.StructField("path", T.ArrayType(T.BinaryType())), T.StructField("top", T.StringType())])
 
@@ -81,22 +76,23 @@ def _traversed(nodes: DataFrame) -> DataFrame:
         table = table.sort_by("pos")
         leaves = table.column("digest").to_pylist()
         paths: list[list[bytes]] = [[] for _ in leaves]
-        top = walk(leaves, paths, 0, _height(table.column("size")[0].as_py()))
+        # all levels of a block, unless it is its group's only one
+        top = walk(leaves, paths, 0, min(height, (table.column("size")[0].as_py() - 1).bit_length()))
         return table.append_column("path", pa.array(paths, pa.list_(pa.binary()))).append_column("top", pa.array([top] * len(leaves), pa.string()))
 
-    return nodes.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long")).groupBy("g", "block").applyInArrow(run, schema)
+    return nodes.withColumn("block", F.shiftright("pos", height)).groupBy("g", "block").applyInArrow(run, schema)
 
 
-def climb(nodes: DataFrame, stages: Stages) -> list[DataFrame]:
+def climb(nodes: DataFrame, stages: Stages, height: int) -> list[DataFrame]:
     """The traversals from nodes (g, pos, size, digest, ...) up to one block a group, each written."""
     levels: list[DataFrame] = []
     while True:
-        levels.append(stages.write(_traversed(nodes), "blocks"))
+        levels.append(stages.write(_traversed(nodes, height), "blocks"))
         most = levels[-1].agg(F.max("size")).first()[0]
-        if most is None or most <= BLOCK:
+        if most is None or most <= 1 << height:
             return levels
         # a block's root is node number `block` of the next traversal; one row of each block carries it
-        nodes = levels[-1].where(F.col("pos") % BLOCK == 0).select("g", F.col("block").alias("pos"), F.ceil(F.col("size") / BLOCK).cast("long").alias("size"), F.col("top").alias("digest"))
+        nodes = levels[-1].where(F.col("pos") == F.shiftleft("block", height)).select("g", F.col("block").alias("pos"), (F.shiftright(F.col("size") - 1, height) + 1).alias("size"), F.col("top").alias("digest"))
 
 
 def descend(levels: list[DataFrame], above: DataFrame) -> DataFrame:
@@ -121,7 +117,7 @@ def positioned_by(df: DataFrame, by: list[str], stages: Stages) -> DataFrame:
     return dealt.join(runs, ["g", "part"]).withColumn("pos", F.col("at") - F.col("shift")).drop("part", "at", "shift")
 
 
-def manifest(df: DataFrame, id: str, group: str, leaf: Column, forged: Column | None = None) -> DataFrame:
+def manifest(df: DataFrame, id: str, group: str, leaf: Column, forged: Column | None = None, height: int = HEIGHT) -> DataFrame:
     """(id, leaf, forged, subroot, root, path) for each row of df.
 
     leaf: the hash of a row (leaf_of); forged: that of the row to be checked, null where it's the same.
@@ -131,9 +127,9 @@ def manifest(df: DataFrame, id: str, group: str, leaf: Column, forged: Column |
     g = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
     fake = F.lit(None).cast("string") if forged is None else forged
     leaves = stages.write(df.select(g.alias("g"), F.col(id).alias("id"), leaf.alias("digest"), fake.alias("forged"), F.monotonically_increasing_id().alias("row")), "leaves")
-    levels = climb(positioned_by(leaves, ["id", "digest", "row"], stages).drop("row"), stages)
+    levels = climb(positioned_by(leaves, ["id", "digest", "row"], stages).drop("row"), stages, height)
     tops = levels[-1].where("pos = 0").select(F.lit("").alias("g"), F.col("g").alias("own"), F.col("top").alias("digest"))
-    over = climb(positioned_by(tops, ["own"], stages), stages)
+    over = climb(positioned_by(tops, ["own"], stages), stages, height)
     root = over[-1].where("pos = 0").select("g", F.array().cast("array<binary>").alias("path"), F.col("top").alias("root"))
     above = descend(over, root).select(F.col("own").alias("g"), "path", F.col("digest").alias("subroot"), "root")
     above = stages.write(above, "above")

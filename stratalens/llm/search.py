@@ -8,7 +8,7 @@ item's terms (repeats counted) of w ((1000000000 tf) div (1000 tf + 8 m)).
 1. One pass over the texts writes the postings of the items' terms (document, n, terms, tf), without a shuffle.
    N, L, df and the range of ids are sums over that table.
 2. Each task sorts its postings by id and goes through them in fixed windows of the id range, wide enough to hold about
-   WINDOW documents on average and cut at WINDOW documents.  A window's postings are dealt by term.  An item's terms are
+   8192 documents on average and cut at so many.  A window's postings are dealt by term.  An item's terms are
    scattered and added into an array of one number a document, which stays in the processor's cache, and the terms'
    bitsets of documents are united; the documents of that bitset are harvested into the item's heap and cleared.
 3. A task returns its heaps, k rows an item at most; rows are ranked by parts, then by item.
@@ -84,8 +84,8 @@ def _lists(rows: list[np.ndarray], kind: type) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind)))
 
 
-def windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[list[pa.RecordBatch]]:
-    """Slices of the batches (in order of column 0) by windows of span ids, WINDOW rows at most."""
+def windows(batches: Iterator[pa.RecordBatch], span: int, window: int = WINDOW) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of the batches (in order of column 0) by windows of span ids, window rows at most."""
     held: list[pa.RecordBatch] = []
     have, now = 0, None
     for batch in batches:
@@ -95,10 +95,10 @@ def windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[list[pa.Re
         start = 0
         for end in [*(np.flatnonzero(np.diff(key)) + 1).tolist(), *([len(key)] if len(key) else [])]:
             while start < end:
-                if have and (key[start] != now or have == WINDOW):
+                if have and (key[start] != now or have == window):
                     yield held
                     held, have = [], 0
-                take = min(end - start, WINDOW - have)
+                take = min(end - start, window - have)
                 held.append(batch.slice(start, take))
                 have, now, start = have + take, key[start], start + take
     if have:
@@ -108,10 +108,10 @@ def windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[list[pa.Re
 class Scorer:
     """Heaps of the k best documents of each item."""
 
-    def __init__(self, items: list[Counter], weights: np.ndarray, n_docs: int, n_terms: int, k: int):
+    def __init__(self, items: list[Counter], weights: np.ndarray, n_docs: int, n_terms: int, k: int, window: int = WINDOW):
         self.items, self.weights, self.n_docs, self.n_terms, self.k = items, weights, n_docs, n_terms, k
         self.heaps: list[list[tuple]] = [[] for _ in items]
-        self.scores = np.zeros(WINDOW, np.int64)
+        self.scores = np.zeros(-(-window // 8) * 8, np.int64)
 
     def add(self, window: pa.Table) -> None:
         ids, n = window.column(0).to_pylist(), window.column(1).to_numpy()
@@ -126,14 +126,14 @@ class Scorer:
         cuts = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(found)] if len(found) else [0]
         lists_of = {}
         for a, b in zip(cuts, cuts[1:], strict=False):
-            bits = np.zeros(WINDOW, bool)
+            bits = np.zeros(len(self.scores), bool)
             bits[slot[a:b]] = True
             lists_of[int(found[a])] = slot[a:b], gain[a:b], np.packbits(bits)
         for item, heap in zip(self.items, self.heaps, strict=True):
             self._harvest(heap, self._scatter(item, lists_of), ids)
 
     def _scatter(self, item: Counter, lists_of: dict) -> np.ndarray:
-        occupied = np.zeros(WINDOW // 8, np.uint8)
+        occupied = np.zeros(len(self.scores) // 8, np.uint8)
         for term, times in item.items():
             if term in lists_of:
                 slots, gain, bits = lists_of[term]
@@ -169,7 +169,7 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def _search(docs: DataFrame, id: str, text: str, block: tuple, k: int, stages: Stages) -> DataFrame:
+def _search(docs: DataFrame, id: str, text: str, block: tuple, k: int, stages: Stages, width: int) -> DataFrame:
     spark = docs.sparkSession
     vocabulary: dict[bytes, int] = {}
     wanted = [Counter(vocabulary.setdefault(t, len(vocabulary)) for t in terms(own.encode())) for _, own in block]
@@ -177,14 +177,14 @@ def _search(docs: DataFrame, id: str, text: str, block: tuple, k: int, stages: S
     n_docs, n_terms, low, high = table.agg(F.count(F.lit(1)), F.sum("n"), F.min("id"), F.max("id")).first()
     df = dict(table.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
     weights = np.array([weight(n_docs, df.get(x, 0)) for x in range(len(vocabulary))], np.int64)
-    span = max(WINDOW, -(-(high - low + 1) * WINDOW // n_docs)) if low is not None else WINDOW
+    span = max(width, -(-(high - low + 1) * width // n_docs)) if low is not None else width
     held = spark.sparkContext.broadcast((wanted, weights))
     names = [i for i, _ in block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, own = held.value
-        scorer = Scorer(items, own, n_docs, n_terms or 1, k)
-        for window in windows(batches, min(span, 1 << 62)):
+        scorer = Scorer(items, own, n_docs, n_terms or 1, k, width)
+        for window in windows(batches, min(span, 1 << 62), width):
             scorer.add(pa.Table.from_batches(window))
         rows = [(q, names[q], -i if known else None, score) for q, heap in enumerate(scorer.heaps) for score, known, i in heap]
         cols = list(zip(*rows, strict=True)) or [()] * 4
@@ -193,14 +193,14 @@ def _search(docs: DataFrame, id: str, text: str, block: tuple, k: int, stages: S
     return _best(table.sortWithinPartitions(F.col("id").asc_nulls_last()).mapInArrow(run, "q long, item long, id long, score long"), k)
 
 
-def top_documents(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", k: int = 10) -> DataFrame:
+def top_documents(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", k: int = 10, window: int = WINDOW) -> DataFrame:
     """(item_id, rank, doc_id, score, item_row): the k best documents of each item, under these names."""
     spark = docs.sparkSession
     small_batches(spark)
     stages = Stages(spark, "search")
     out, before = None, 0
     for block in item_blocks(items, item, item_text):
-        found = _search(docs, id, text, block, k, stages).withColumn("item_row", F.col("q") + before)
+        found = _search(docs, id, text, block, k, stages, window).withColumn("item_row", F.col("q") + before)
         out = found if out is None else out.unionByName(found)
         before += len(block)
     if out is None:
