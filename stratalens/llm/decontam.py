@@ -1,15 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching (operator 8).
 
-A test item of m characters is leaked by a document that holds a passage within k = max(least, m * percent / 100)
-edits of it.  Cut into k + 1 pieces, at least one piece of the item is in the passage unchanged, so pieces are found by
+A test item of m characters is leaked by a document that holds a passage within k = m * percent / 100 edits of it.  Cut into k + 1 pieces, at least one piece of the item is in the passage unchanged, so pieces are found by
 one Aho-Corasick pass over each whole text, and around each hit the least distance of the whole item is worked out
 with Myers' bit-parallel algorithm.  Texts and items are compared in lower case with runs of white space as one space.
 
 Items are handed to tasks in blocks of bounded size (BLOCK_CHARS); more items make more passes over the documents, not
 larger automata.
 
-Items under `shortest` characters after folding are found by the same automaton, whole and without edits, where they
-begin and end at word boundaries: a few edits would turn so short a string into another one.
+An item too short for an edit (k = 0: under 20 characters at 5 percent) is one piece, found where it begins and ends at
+word boundaries.
 
 Edge cases: null or empty texts and items leak nothing; equal items are each reported; repeated documents each report;
 of two passages equally near the first is reported; an empty table on either side gives an empty result; texts of any
@@ -37,9 +36,9 @@ def fold(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def budget(m: int, percent: int, least: int) -> int:
-    """The edits allowed for an item of m characters."""
-    return max(least, m * percent // 100)
+def budget(m: int, percent: int) -> int:
+    """The edits allowed for an item of m characters: they grow with its length alone."""
+    return m * percent // 100
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -79,18 +78,18 @@ def myers_best(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 
 
 class EditMatcher:
-    def __init__(self, items: list[tuple[int, str]], percent: int = 5, least: int = 2, shortest: int = 40):
+    def __init__(self, items: list[tuple[int, str]], percent: int = 5):
         self.items = []
         found: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
             t = fold(text)
             if not t:
                 continue
-            if len(t) < shortest:
+            k = budget(len(t), percent)
+            if not k:
                 found.setdefault(t, []).append((len(self.items), 0))
                 self.items.append((item, len(t), 0, None))
                 continue
-            k = budget(len(t), percent, least)
             masks: dict[str, int] = {}
             for i, c in enumerate(t):
                 masks[c] = masks.get(c, 0) | 1 << i
@@ -132,11 +131,11 @@ class EditMatcher:
 _matchers: dict[tuple, EditMatcher] = {}
 
 
-def _matcher(items: tuple, percent: int, least: int, shortest: int) -> EditMatcher:
-    key = (items, percent, least, shortest)
+def _matcher(items: tuple, percent: int) -> EditMatcher:
+    key = (items, percent)
     if key not in _matchers:
         _matchers.clear()
-        _matchers[key] = EditMatcher(list(items), percent, least, shortest)
+        _matchers[key] = EditMatcher(list(items), percent)
     return _matchers[key]
 
 
@@ -154,7 +153,7 @@ def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple]:
         yield tuple(block)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", percent: int = 5, least: int = 2, shortest: int = 40) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", percent: int = 5) -> DataFrame:
     """(id, item_id, distance, end_at) for each item and row of docs that holds it.
 
     If the documents' id has one of the other names, the column of that name gets underscores after it.
@@ -168,7 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = _matcher(held.value, percent, least, shortest)
+            own = _matcher(held.value, percent)
             for batch in batches:
                 got = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in own.leaks(t)]
                 cols = list(zip(*got, strict=True)) or [(), (), (), ()]
@@ -187,7 +186,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = _matcher(held.value, options.get("percent", 5), options.get("least", 2), options.get("shortest", 40))
+            own = _matcher(held.value, options.get("percent", 5))
             for batch in batches:
                 keep = np.array([not own.leaks(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], bool)
                 yield batch.filter(pa.array(keep))

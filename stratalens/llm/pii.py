@@ -12,9 +12,9 @@ that equal values become equal pseudonyms in all documents and texts keep their
   date    a real day from 1801 to 2200, y-m-d or d.m.y or m/d/y (d/m/y where only that is a day); the 146,097 days
           of these 400 years are permuted exactly
   email   letters and digits of the local part and of the domain's names before the last
-  secret  hexadecimal strings of 32 to 64 with a digit and a letter, in small or capital letters; and, after key words
-          such as token and = or :, values of 8 to 256 characters with a digit and a letter (letters and digits are
-          permuted, signs and capitals kept)
+  secret  hexadecimal strings of 32 or more with a digit and a letter, in small or capital letters; and, after key words
+          such as token and = or :, values of 8 characters or more with a digit and a letter (letters and digits are
+          permuted, signs and capitals kept); long ones in parts, so that cost follows length
 
 Values that fail validation (a 16-digit number with a wrong Luhn digit, 999.1.1.1) stay as they are.
 
@@ -36,10 +36,11 @@ KINDS = ("email", "secret", "iban", "date", "ip", "ssn", "card", "phone")
 ROUNDS = 8
 
 # The formats looked for.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-SECRET = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,63}"
+SECRET = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])"
 WORD = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|credentials?)[\"']?\s{0,3}(?:=>|[:=])\s{0,3}[\"']?(?:(?i:bearer|basic)\s)?"
-KEYED = WORD + r"(?=[A-Za-z0-9_~+/.=-]{0,255}[0-9])(?=[A-Za-z0-9_~+/.=-]{0,255}[A-Za-z])[A-Za-z0-9_~+/=-](?:[A-Za-z0-9_~+/=-]|\.(?=[A-Za-z0-9_~+/=-])){7,255}+(?![A-Za-z0-9@_~+/=-])"
+SIGN = r"[A-Za-z0-9_~+/=-]"
+KEYED = WORD + rf"(?=[A-Za-z_~+/.=-]*+[0-9])(?=[0-9_~+/.=-]*+[A-Za-z])(?={SIGN}(?:{SIGN}|\.(?={SIGN})){{7}}){SIGN}++(?:\.{SIGN}++)*+(?![A-Za-z0-9@_~+/=-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -180,8 +181,17 @@ def _new_date(m: Column, key: str) -> Column:
     return let(F.date_add(first, feistel_number(F.datediff(_day(m), first).cast("long"), 189, 773, key, "date").cast("int")), bound)
 
 
+def _parts(s: Column, size: int, new) -> Column:
+    """s in parts of size characters, each put through new."""
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), new), "")
+
+
 def _letters(s: Column, key: str, tweak: str) -> Column:
-    """Letters of s permuted among letters, digits among digits; case kept; runs over 40 in parts of 40."""
+    """Letters of s permuted among letters, digits among digits; case kept; in parts of 240, and their runs in parts of 40."""
+    return _parts(s, 240, lambda part: _letters_of(part, key, tweak))
+
+
+def _letters_of(s: Column, key: str, tweak: str) -> Column:
 
     def of(t: Column, alphabet: str, drop: str, name: str) -> Column:
         def bound(chars: Column) -> Column:
@@ -252,14 +262,13 @@ def _new_ssn(m: Column, key: str) -> Column:
 
 
 def _new_secret(m: Column, key: str) -> Column:
-    """Hexadecimal digits (over 40, in two parts), equal for small and capital letters; other secrets by letters and digits."""
+    """Hexadecimal digits (in parts of 40), equal for small and capital letters; other secrets by letters and digits."""
 
     def hexed(h: Column) -> Column:
-        head = feistel(F.substring(h, 1, 40), HEX, key, "secret")
-        return F.when(F.length(h) <= 40, head).otherwise(F.concat(head, feistel(F.substring(h, F.lit(41), F.length(h)), HEX, key, "secret")))
+        return _parts(h, 40, lambda part: feistel(part, HEX, key, "secret"))
 
-    small = m.rlike("^[0-9a-f]{32,64}$")
-    return F.when(small, let(m, hexed)).when(m.rlike("^[0-9A-F]{32,64}$"), F.upper(let(F.lower(m), hexed))).otherwise(_letters(m, key, "secret"))
+    small = m.rlike("^[0-9a-f]{32,}$")
+    return F.when(small, let(m, hexed)).when(m.rlike("^[0-9A-F]{32,}$"), F.upper(let(F.lower(m), hexed))).otherwise(_letters(m, key, "secret"))
 
 
 def kind_of(m: Column, digits: Column) -> Column:
@@ -267,7 +276,7 @@ def kind_of(m: Column, digits: Column) -> Column:
     bare = F.length(digits) == F.length(m)
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike("^[0-9A-Fa-f]{32,64}$") & m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "secret")
+        .when(m.rlike("^[0-9A-Fa-f]{32,}$") & m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), "secret")
         .when(m.rlike("^[A-Z]{2}"), F.when((F.length(_only(m, " ")).between(15, 34)) & (iban_rest(_only(m, " ")) == 1), "iban").otherwise(""))
         .when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})$"), F.when(_day(m).isNotNull(), "date").otherwise(""))
         .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), F.when(F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255), "ip").otherwise(""))

@@ -350,7 +350,7 @@ def plain_pipeline(docs, bench):
     one = {g: min(d for d, h in zip(kept, group, strict=True) if h == g) for g in group}
     left = []
     for i, t in one.values():
-        if not any(plain_distance(decontam.fold(b), decontam.fold(t)) <= decontam.budget(len(decontam.fold(b)), 5, 2) for _, b in bench):
+        if not any(plain_distance(decontam.fold(b), decontam.fold(t)) <= decontam.budget(len(decontam.fold(b)), 5) for _, b in bench):
             left.append((i, t))
     return {i: re.sub(r"\b\d{16}\b", lambda m: plain_card(m[0], PII_KEY) if luhn(m[0]) == 0 else m[0], t) for i, t in left}
 

@@ -149,7 +149,7 @@ def test_leaks_within_the_budget_are_found(spark, monkeypatch):
         docs.append(text)
     for d, text in enumerate(docs):
         for k, t in items:
-            if _distance(decontam.fold(t), decontam.fold(text)) <= decontam.budget(len(decontam.fold(t)), 5, 2):
+            if _distance(decontam.fold(t), decontam.fold(text)) <= decontam.budget(len(decontam.fold(t)), 5):
                 want.add((d, k))
     df = _docs(spark, [*docs, None, ""])
     bench = spark.createDataFrame([*items, (6, None), (7, "short")], "item_id long, text string")

@@ -3,14 +3,14 @@
 from stratalens.llm import decontam, jaccard, pii
 
 
-def test_short_items_leak_whole_at_word_boundaries(spark):
+def test_short_items_leak_within_a_budget_that_grows_with_them(spark):
     items = [(1, "What is the capital of France?"), (2, "x" * 50), (3, "  "), (4, "ART"), (5, "首都是哪里")]
     texts = ["He asks: what  is the\nCAPITAL of France? Paris.", "what is the capital of Frances", "whatever is said", "art", "start of an artist", "we call it art.", "中国的首都是哪里呢", "what is the capitol of france?", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.distance, r.end_at) for r in decontam.find_leaks(docs, bench).collect()}
-    assert got == {(0, 1): (0, 39), (3, 4): (0, 3), (5, 4): (0, 14), (6, 5): (0, 8)}
-    assert {r.doc_id for r in decontam.without_leaks(docs, bench).collect()} == {1, 2, 4, 7, 8, 9}
+    assert got == {(0, 1): (0, 39), (1, 1): (1, 29), (7, 1): (1, 30), (3, 4): (0, 3), (5, 4): (0, 14), (6, 5): (0, 8)}
+    assert {r.doc_id for r in decontam.without_leaks(docs, bench).collect()} == {2, 4, 8, 9}
 
 
 def test_cards_beside_other_digits_and_keyed_secrets(spark):
