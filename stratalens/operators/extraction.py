@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import estate, sinks
 from ..streaming import runtime
-from . import lines, members
+from . import lines, members, sqlmodel
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,7 @@ def extract_cobol(spark, sf_dir):
 def extract_sql(spark, sf_dir):
     """2.8-4, 2.8-5, 2.8-38: tables and columns that embedded SQL meets."""
     p = programs(spark, sf_dir)
-    tables = lines.sql_facts(p).select("source", "rel_type", "target", "line")
+    tables = sqlmodel.sql_facts(p).select("source", "rel_type", "target", "line")
     return tables.unionByName(lines.sql_lineage(p).select("source", F.col("kind").alias("rel_type"), "target", "line"))
 
 

@@ -18,7 +18,7 @@ N = r"[A-Z0-9$#@_-]+"  # a name
 # relation, type of target, group of target, confidence).  The own name is the nearest earlier line that OWNERS fits.
 LINES = {
     "jcl": [(rf"^//({N})\s+EXEC\s+PGM=({N})", 0, "EXECUTES", "program", 2, 1.0), (rf"^//({N})\s+EXEC\s+(?:PROC=)?({N})(?:,|\s|$)", 0, "EXECUTES_PROC", "proc", 2, 0.78), (rf"^//\s+INCLUDE\s+MEMBER=({N})", 0, "INCLUDES", "member", 1, 0.78)],
-    "assembler": [(rf"^\s+(?:CALL|LINK\s+EP=|XCTL\s+EP=)\s*({N})", 0, "CALLS", "program", 1, 0.8), (rf"^\s+COPY\s+({N})", 0, "USES", "copybook", 1, 0.8)],
+    "assembler": [(rf"^\s+(?:CALL|LINK\s+EP=|XCTL\s+EP=)\s*({N})", 0, "CALLS", "program", 1, 0.8), (rf"^\s+COPY\s+({N})", 0, "USES", "copybook", 1, 0.8), (rf"^({N})\s+DSECT\b", 0, "DEFINES", "dsect", 1, 0.8)],
     "pl1": [(rf"\bCALL\s+({N})", 0, "CALLS", "program", 1, 0.8), (rf"%INCLUDE\s+({N})", 0, "USES", "copybook", 1, 0.9)],
     "bms": [(rf"^({N})\s+DFHMDI\b", 0, "CONTAINS", "map", 1, 0.9)],
     "ims": [(rf"\bSEGM\s+NAME=\(?({N})", 0, "CONTAINS", "segment", 1, 0.9), (rf"\bSEGM\s+NAME=\(?({N}).*PARENT=\(*({N})", 1, "CHILD_OF", "segment", 2, 0.85), (rf"\bPCB\s+TYPE=DB.*DBDNAME=({N})", 0, "USES", "database", 1, 0.9), (rf"\bSENSEG\s+NAME=({N})", 0, "USES", "segment", 1, 0.85)],
@@ -39,13 +39,8 @@ COMMANDS = [
     (["WRITEQ"], "QUEUE|QNAME", "WRITES", "queue"),
     (["START"], "TRANSID", "STARTS", "transaction"),
 ]
-# A table's name, with its schema, and a list of tables with their aliases; words of the language are no aliases.
+# A table's name, with its schema.
 TABLE_NAME = r"[A-Z$#@][A-Z0-9_$#@]*(?:\.[A-Z$#@][A-Z0-9_$#@]*)*"
-NO_ALIAS = r"(?!(?:WHERE|JOIN|INNER|LEFT|RIGHT|FULL|OUTER|CROSS|ON|USING|SET|ORDER|GROUP|HAVING|UNION|FOR|FETCH|WITH|VALUES|SELECT|WHEN)\b)"
-TABLE_LIST = rf"{TABLE_NAME}(?:\s+(?:AS\s+)?{NO_ALIAS}[A-Z][A-Z0-9_]*)?(?:\s*,\s*{TABLE_NAME}(?:\s+(?:AS\s+)?{NO_ALIAS}[A-Z][A-Z0-9_]*)?)*"
-# Words that stand before tables; those that write.
-SQL_PLACES = rf"(?:\bDELETE\s+FROM|\bFROM|\bJOIN|\bINTO|\bUSING|(?<!\bFOR )\bUPDATE)\s+{TABLE_LIST}"
-SQL_WRITES = r"^(?:DELETE|INTO|UPDATE)\b"
 COMMENT = {"cobol": r"^(?:.{6}[*/]|\s*\*)", "jcl": r"^//\*", "assembler": r"^\*", "ddl": r"^\s*--"}
 
 
@@ -77,48 +72,17 @@ def line_facts(members: DataFrame, kind: str) -> DataFrame:
 def blocks(members: DataFrame, language: str) -> DataFrame:
     """(path, own, line, body) of each EXEC language ... END-EXEC outside comments."""
     text = code(F.coalesce(F.col("text"), F.lit("")), "cobol")
-    cut = members.select("path", owner(text, F.col("path"), "cobol").alias("own"), F.split(text, rf"(?i)\bEXEC\s+{language}\b", -1).alias("parts")).where(F.size("parts") > 1)
-    at = cut.select("path", "own", "parts", F.posexplode("parts").alias("k", "part")).where("k > 0 AND part RLIKE '(?i)END-EXEC'")
-    breaks = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0), lambda n, p: n + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    return at.select("path", "own", (breaks + 1).alias("line"), F.regexp_extract("part", r"(?is)^(.*?)END-EXEC", 1).alias("body"))
+    parts = F.split(text, rf"(?i)\bEXEC\s+{language}\b", -1)
+    at = members.select("path", owner(text, F.col("path"), "cobol").alias("own"), F.explode(_lined(parts)).alias("p")).where("p.k > 0 AND p.part RLIKE '(?i)END-EXEC'")
+    return at.select("path", "own", F.col("p.line"), F.regexp_extract("p.part", r"(?is)^(.*?)END-EXEC", 1).alias("body"))
 
 
-def statement_tables(body: Column) -> Column:
-    """array of struct(rel_type, target): the tables of an SQL statement, in order, each with what is done to it.
-
-    Literals are blanked first; names keep their schema; a host variable after INTO is no table.
-    """
-    plain = F.regexp_replace(F.regexp_replace(F.upper(body), "'[^']*'", "''"), r"\s+", " ")
-    places = F.when(~F.trim(plain).rlike(r"^(?:FETCH|OPEN|CLOSE)\b"), F.regexp_extract_all(plain, F.lit(SQL_PLACES), F.lit(0))).otherwise(F.array().cast("array<string>"))
-
-    def read(place: Column) -> Column:
-        rel = F.when(place.rlike(SQL_WRITES), "WRITES").otherwise("READS")
-        listed = F.split(F.regexp_replace(place, r"^(?:DELETE\s+)?[A-Z]+\s+", ""), r"\s*,\s*")
-        return F.transform(listed, lambda t: F.struct(rel.alias("rel_type"), F.regexp_extract(t, f"^{TABLE_NAME}", 0).alias("target")))
-
-    return F.array_distinct(F.flatten(F.transform(places, read)))
-
-
-def sql_facts(members: DataFrame) -> DataFrame:
-    """Tables that embedded SQL reads and writes."""
-    each = blocks(members, "SQL").select("path", "line", F.col("own").alias("source"), F.explode(statement_tables(F.col("body"))).alias("f")).where("f.target <> ''")
-    return each.select("path", "line", "source", "f.rel_type", F.lit("table").alias("target_type"), "f.target", F.lit(1.0).alias("confidence"), F.lit("confirmed").alias("status"))
-
-
-# What statements on cursors do, and their confidence.
-CURSOR_ACTS = [("OPENS", r"(?i)^\s*OPEN\s+([A-Z0-9_-]+)", 0.82), ("FETCHES", r"(?i)^\s*FETCH\s+(?:NEXT\s+)?(?:FROM\s+)?([A-Z0-9_-]+)", 0.84), ("CLOSES", r"(?i)^\s*CLOSE\s+([A-Z0-9_-]+)", 0.82)]
-
-
-def cursor_facts(members: DataFrame) -> DataFrame:
-    """Cursors that programs declare, open, fetch and close, and the tables that each reads."""
-    b = F.col("body")
-    declared = F.upper(F.regexp_extract(b, r"(?i)\bDECLARE\s+([A-Z0-9_-]+)\s+(?:\w+\s+)*?CURSOR\b", 1))
-    fact = lambda source, rel, kind, target, c: F.struct(source.alias("source"), F.lit(rel).alias("rel_type"), F.lit(kind).alias("target_type"), target.alias("target"), F.lit(c).alias("confidence"))
-    own = F.col("own")
-    reads = F.transform(F.array_distinct(F.regexp_extract_all(F.upper(b), F.lit(r"\b(?:FROM|JOIN)\s+([A-Z0-9_.]+)"), 1)), lambda t: fact(declared, "CURSOR_READS", "table", t, 0.9))
-    acts = [F.when(b.rlike(rx), fact(own, rel, "cursor", F.upper(F.regexp_extract(b, rx, 1)), c)) for rel, rx, c in CURSOR_ACTS]
-    all_of = F.when(declared != "", F.concat(F.array(fact(own, "DECLARES_CURSOR", "cursor", declared, 0.9)), reads)).otherwise(F.array_compact(F.array(*acts)))
-    return blocks(members, "SQL").select("path", "line", F.explode(all_of).alias("f")).select("path", "line", "f.*").withColumn("status", status(F.col("confidence")))
+def _lined(parts: Column) -> Column:
+    """array of struct(k, line, part): where each part of a text begins, counted along in one pass."""
+    breaks = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+    start = F.struct(F.lit(0).alias("k"), F.lit(1).alias("line"), F.array().cast("array<struct<k:int,line:int,part:string>>").alias("out"))
+    step = lambda s, p: F.struct((s["k"] + 1).alias("k"), (s["line"] + breaks(p)).alias("line"), F.array_append(s["out"], F.struct(s["k"].alias("k"), s["line"].alias("line"), p.alias("part"))).alias("out"))
+    return F.aggregate(parts, start, step, lambda s: s["out"])
 
 
 def _between(text: Column, start: str, end: str) -> Column:
@@ -177,10 +141,9 @@ def cics_facts(members: DataFrame) -> DataFrame:
 def csd_facts(members: DataFrame) -> DataFrame:
     """Transactions and the programs that they start."""
     parts = F.split(F.coalesce("text", F.lit("")), r"(?i)(?=DEFINE\s)", -1)
-    breaks = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0), lambda n, p: n + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    each = members.select("path", parts.alias("parts")).select("path", "parts", F.posexplode("parts").alias("k", "p"))
-    name = lambda rx: F.upper(F.regexp_extract("p", rf"(?is){rx}\s*\(\s*([A-Z0-9$#@]+)\s*\)", 1))
-    return each.select("path", (breaks + 1).alias("line"), name(r"^DEFINE\s+TRANSACTION").alias("source"), F.lit("STARTS").alias("rel_type"), F.lit("program").alias("target_type"), name(r"\bPROGRAM").alias("target"), F.lit(1.0).alias("confidence"), F.lit("confirmed").alias("status")).where("source <> '' AND target <> ''")
+    each = members.select("path", F.explode(_lined(parts)).alias("p"))
+    name = lambda rx: F.upper(F.regexp_extract("p.part", rf"(?is){rx}\s*\(\s*([A-Z0-9$#@]+)\s*\)", 1))
+    return each.select("path", F.col("p.line"), name(r"^DEFINE\s+TRANSACTION").alias("source"), F.lit("STARTS").alias("rel_type"), F.lit("program").alias("target_type"), name(r"\bPROGRAM").alias("target"), F.lit(1.0).alias("confidence"), F.lit("confirmed").alias("status")).where("source <> '' AND target <> ''")
 
 
 def data_items(members: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import assemble, estate_graph, graph, lines, members
+from stratalens.operators import assemble, estate_graph, graph, lines, members, sqlmodel
 from stratalens.operators.estate_graph import Estate
 
 COBOL = """       IDENTIFICATION DIVISION.
@@ -187,8 +187,8 @@ def test_arguments_meet_linkage(spark):
     ],
 )
 def test_tables_of_statements(spark, sql, want):
-    got = spark.createDataFrame([(sql,)], "b string").select(F.explode(lines.statement_tables(F.col("b"))).alias("t")).select("t.*")
-    assert {tuple(r) for r in got.collect()} == want
+    got = sqlmodel.tables(sqlmodel.labelled(spark.createDataFrame([("p", "o", 1, sql)], "path string, own string, line int, body string")))
+    assert {("WRITES" if r.writes else "READS", r.name) for r in got.collect()} == want
 
 
 def test_paragraphs_behind_sequence_numbers():

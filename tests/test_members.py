@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as T
-from stratalens.operators import lines, members
+from stratalens.operators import lines, members, sqlmodel
 from stratalens.operators.router import Router
 from stratalens.sources import estate, sinks
 from stratalens.streaming import runtime
@@ -82,7 +82,7 @@ def test_procedure_facts():
 
 def test_sql_and_commands(spark):
     m = frame(spark, **{"X/PAY.cbl": MAIN, "empty": "", "none": None})
-    assert {(r.source, r.rel_type, r.target, r.line) for r in lines.sql_facts(m).collect()} == {("PAYMAIN", "READS", "TAB1", 22), ("PAYMAIN", "WRITES", "TAB2", 24)}
+    assert {(r.source, r.rel_type, r.target, r.line) for r in sqlmodel.sql_facts(m).collect()} == {("PAYMAIN", "READS", "TAB1", 22), ("PAYMAIN", "WRITES", "TAB2", 24)}
     assert {(r.source, r.target) for r in lines.sql_lineage(m).collect()} == {("TAB1.C1", "H1"), ("TAB1.C2", "H2"), ("WS-A", "TAB2.C1"), ("WS-B", "TAB2.C2")}
     assert {(r.rel_type, r.target, r.confidence) for r in lines.cics_facts(m).collect()} == {("CALLS", "WS-PGM", 0.3), ("WRITES", "Q1", 1.0)}
 
@@ -90,7 +90,7 @@ def test_sql_and_commands(spark):
 def test_cursors(spark):
     sql = ["DECLARE CUR1 CURSOR FOR SELECT A FROM T1 JOIN T2 ON X = Y", "OPEN CUR1", "FETCH CUR1 INTO :H1", "CLOSE CUR1", "COMMIT"]
     m = frame(spark, c="PROGRAM-ID. CP.\n" + "\n".join(f"    EXEC SQL {s} END-EXEC." for s in sql), none=None)
-    got = {(r.source, r.rel_type, r.target, r.line) for r in lines.cursor_facts(m).collect()}
+    got = {(r.source, r.rel_type, r.target, r.line) for r in sqlmodel.cursor_facts(m).collect()}
     assert got == {("CP", "DECLARES_CURSOR", "CUR1", 2), ("CUR1", "CURSOR_READS", "T1", 2), ("CUR1", "CURSOR_READS", "T2", 2), ("CP", "OPENS", "CUR1", 3), ("CP", "FETCHES", "CUR1", 4), ("CP", "CLOSES", "CUR1", 5)}
 
 
@@ -227,4 +227,4 @@ def test_changes_and_shards(spark):
 @pytest.mark.parametrize("text", [None, "", "no code"])
 def test_empty_members(spark, text):
     m = frame(spark, p=text)
-    assert [f(m).count() for f in (lines.sql_facts, lines.cics_facts, lines.csd_facts, members.cobol_facts, members.jcl_facts, lines.data_items)] == [0] * 6
+    assert [f(m).count() for f in (sqlmodel.sql_facts, lines.cics_facts, lines.csd_facts, members.cobol_facts, members.jcl_facts, lines.data_items)] == [0] * 6
