@@ -406,14 +406,20 @@ class Estate:
         return p.select(F.col("name").alias("program"), F.coalesce("rank", F.lit(0.0)).alias("pagerank"), "exec_count", runtime_status(F.col("exec_count")).alias("runtime_status"), (0.5 * a + 0.5 * b).alias("score")).orderBy(F.desc(F.round("score", 4)), "program").limit(top)
 
     # --- change ------------------------------------------------------------------------------------------------------
+    @property
+    def between_assets(self) -> DataFrame:
+        """Relationships between assets, without those of what they hold inside."""
+        inner = lambda c: F.substring_index(c, ":", 1).isin(*V.INNER_TYPES)
+        return self.relationships.where(~inner("source_id") & ~inner("target_id"))
+
     def _reach_of_change(self, own: str, max_depth: int) -> DataFrame:
         """One row: counts and weights of what depends on an asset and of what it depends on, and the scores they give."""
         weight = lambda other: F.coalesce(F.create_map(*[F.lit(x) for kv in V.CRITICALITY.items() for x in kv])[F.col("asset_type")], F.lit(other))
-        reach = lambda reverse: self.named(G.reached(self.relationships, self._ids(own), reverse=reverse, depth=max_depth).where("dist > 0")).where("name IS NOT NULL")
+        reach = lambda reverse: self.named(G.reached(self.between_assets, self._ids(own), reverse=reverse, depth=max_depth).where("dist > 0")).where("name IS NOT NULL")
         up = reach(True).agg(F.count(F.lit(1)).alias("blast_radius"), F.coalesce(F.sum(weight(3)), F.lit(0)).alias("up"))
         down = reach(False).agg(F.count(F.lit(1)).alias("dependency_count"), F.coalesce(F.sum(F.floor(weight(2) / 2)), F.lit(0)).alias("down"))
         sure = self.assets.where(F.col("asset_id") == own).select(F.floor(F.col("confidence") * 100).alias("sure"))
-        one = up.crossJoin(down).crossJoin(sure).crossJoin(self.relationships.agg(F.count(F.lit(1)).alias("edges")))
+        one = up.crossJoin(down).crossJoin(sure).crossJoin(self.between_assets.agg(F.count(F.lit(1)).alias("edges")))
         ready = F.greatest(F.lit(0), F.least(F.lit(100), F.col("sure") - F.least(F.lit(50), F.col("blast_radius") * 3 + F.col("dependency_count") * 2)))
         return one.withColumn("risk_score", F.least(F.lit(100), F.col("up") + F.col("down")).cast("long")).withColumn("readiness_score", ready.cast("long"))
 
@@ -440,7 +446,7 @@ class Estate:
     def breakages(self, own: str, scenario: str) -> DataFrame:
         """(type, rel_type, peer): what breaks next to an asset if it is retired, extracted, moved or changed."""
         into, out = F.col("target_id") == own, F.col("source_id") == own
-        rows = lambda where, kind, peer: self.relationships.where(where).select(F.lit(kind).alias("type"), "rel_type", F.col(peer).alias("peer"))
+        rows = lambda where, kind, peer: self.between_assets.where(where).select(F.lit(kind).alias("type"), "rel_type", F.col(peer).alias("peer"))
         match scenario.lower():
             case "retire":
                 return rows(into, "BROKEN_CONSUMER", "source_id")
@@ -454,7 +460,7 @@ class Estate:
     def change_paths(self, target: str, reverse: bool = True, max_depth: int = 10, limit: int = 200) -> DataFrame:
         """(dist, route): ways to each edge that leaves what is reached, the shortest first; a vertex keeps its first way."""
         a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-        steps = self.relationships.select(F.col(a).alias("id"), F.col(b).alias("to"))
+        steps = self.between_assets.select(F.col(a).alias("id"), F.col(b).alias("to"))
         front = self._ids(self.resolve(target)).withColumn("route", F.array("id"))
         seen, out, rounds = front.select("id"), None, G.Rounds(self.spark, "paths")
         for dist in range(1, max_depth + 1):
@@ -557,15 +563,20 @@ class Estate:
         return row(kinds, "INVENTORY", F.lit("assets by type"), F.col("detail")).unionByName(row(roots, "ROOT", F.concat(F.col("n"), F.lit(" entry points")), F.col("detail"))).unionByName(row(gaps, "GAPS", F.concat(F.col("n"), F.lit(" relationships need review")), F.concat(F.col("u"), F.lit(" assets without a source"))))
 
     # --- coverage and validation -------------------------------------------------------------------------------------
-    def coverage(self, roots: DataFrame, depth: int = 3, limit: int = 600) -> DataFrame:
+    def coverage(self, roots: DataFrame, depth: int = 3, limit: int | None = 600) -> DataFrame:
         """(asset_id, k, check_name, status, confidence, edges) for each of roots (asset_id): 29 checks on what leaves it within the depth.
 
-        The nearest `limit` vertices of each root count.  Attributes of the asset that the checks read: parser,
+        The nearest `limit` vertices of each root count, as in the reference, and `truncated` tells whether there are more; all
+        count with limit=None.  Attributes of the asset that the checks read: parser,
         parser_status, copies, copies_unresolved, data_items, field_flows, business_rules.
         """
         best = G.best_edges(self.relationships)
         at = G.bfs(best, roots.select(F.col("asset_id").alias("id")), depth=depth - 1).select(F.col("root").alias("asset_id"), F.col("id").alias("source_id"), "dist")
-        at = at.withColumn("n", F.row_number().over(W.partitionBy("asset_id").orderBy("dist", "source_id"))).where(F.col("n") <= limit)
+        cut = at.limit(0).select("asset_id").withColumn("truncated", F.lit(True))
+        if limit is not None:
+            at = G.Rounds(self.spark, "coverage").write(at.withColumn("n", F.row_number().over(W.partitionBy("asset_id").orderBy("dist", "source_id"))).where(F.col("n") <= limit + 1))
+            cut = at.where(F.col("n") > limit).select("asset_id", F.lit(True).alias("truncated"))
+            at = at.where(F.col("n") <= limit)
         out = at.select("asset_id", "source_id", (F.col("dist") == 0).alias("own")).join(self.relationships, "source_id").select("asset_id", "own", "rel_type", "attributes", F.substring_index("source_id", ":", 1).alias("s"), F.substring_index("target_id", ":", 1).alias("t"))
         a = F.col("attributes")
         end = lambda *kinds: F.col("s").isin(*kinds) | F.col("t").isin(*kinds)
@@ -607,7 +618,8 @@ class Estate:
             rows.append(F.struct(F.lit(k).alias("k"), F.lit(name).alias("check_name"), status.alias("status"), count.cast("long").alias("edges")))
         sure = F.create_map(*[F.lit(x) for kv in V.COVERAGE_CONFIDENCE.items() for x in kv])
         each = own.select("asset_id", F.explode(F.array(*rows)).alias("c")).select("asset_id", "c.*")
-        return each.select("asset_id", "k", "check_name", "status", sure[F.col("status")].alias("confidence"), "edges")
+        each = each.join(cut, "asset_id", "left")
+        return each.select("asset_id", "k", "check_name", "status", sure[F.col("status")].alias("confidence"), "edges", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
     def validate(self) -> DataFrame:
         """(check_name, status, failures, noted): the checks of a run; those that only make visible pass with what they note."""

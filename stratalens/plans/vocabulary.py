@@ -130,3 +130,10 @@ CHECKS = (
     "business_rule_graph", "file_io_semantics", "statement_ordering", "sort_merge",
 )
 COVERAGE_CONFIDENCE = {"captured": 0.9, "partial": 0.65, "needs_review": 0.35, "not_observed": 0.5}
+
+# Types of what assets hold inside, or are described by; changes are weighed between assets.
+INNER_TYPES = (
+    "FIELD", "SECTION", "PARAGRAPH", "STATEMENT", "BUSINESS_RULE", "TRANSFORMATION", "DB2_CURSOR", "DB2_STATEMENT", "CICS_CONTRACT",
+    "COMMAREA_CONTRACT", "INTERFACE_CONTRACT", "FILE_IO_OPERATION", "FILE_RECORD", "SORT_MERGE_OPERATION", "COPYBOOK_FIELD", "JOB_STEP",
+    "JCL_DD", "JCL_CONDITION", "ASSEMBLER_DSECT", "DB2_COLUMN", "DB2_INDEX", "RETURN_CODE", "CICS_CONDITION", "DATASET_IDENTITY", "SQL_SCRIPT",
+)
