@@ -345,22 +345,33 @@ class Estate:
         got = G.pagerank(self._rel("CALLS", "EXECUTES"), turns).where(F.col("id").startswith("PROGRAM:"))
         return got.select(F.col("id").alias("program"), "rank").orderBy(F.desc("rank"), "program").limit(top)
 
-    def coupling(self, call: int = 2, shared: int = 1, types: Iterable[str] = ("USES", "READS", "WRITES")) -> DataFrame:
-        """(a, b, w): how programs hang together: `call` for each call, `shared` for each thing that both use."""
+    def calls_and_uses(self, call: int = 2, types: Iterable[str] = ("USES", "READS", "WRITES")) -> tuple[DataFrame, DataFrame]:
+        """(a, b, w) of calls between programs, and (id, resource) of what programs use."""
         p = self.programs().select(F.col("asset_id").alias("id"))
         own = lambda df, c: df.join(p.select(F.col("id").alias(c)), c, "left_semi")
         calls = own(own(self._rel("CALLS", "DYNAMIC_CALL"), "source_id"), "target_id").where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), F.lit(call).alias("w"))
-        use = own(self._rel(*types), "source_id").select("source_id", "target_id").distinct()
-        pairs = use.alias("x").join(use.alias("y"), F.col("x.target_id") == F.col("y.target_id")).where("x.source_id < y.source_id").select(F.col("x.source_id").alias("a"), F.col("y.source_id").alias("b"), F.lit(shared).alias("w"))
+        return calls, own(self._rel(*types), "source_id").select(F.col("source_id").alias("id"), F.col("target_id").alias("resource")).distinct()
+
+    def coupling(self, call: int = 2, shared: int = 1, types: Iterable[str] = ("USES", "READS", "WRITES")) -> DataFrame:
+        """(a, b, w): how programs hang together, pair by pair: `call` for each call, `shared` for each thing that both use."""
+        calls, use = self.calls_and_uses(call, types)
+        pairs = use.alias("x").join(use.alias("y"), "resource").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(shared).alias("w"))
         return calls.unionByName(pairs).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
-    def communities(self, coupling: DataFrame | None = None) -> DataFrame:
-        """(id, community) of programs by modularity of their coupling; programs that nothing couples are alone."""
-        return G.communities(self.coupling() if coupling is None else coupling, self.programs().select(F.col("asset_id").alias("id")))
+    def communities(self, coupling: DataFrame | None = None, call: int = 2, shared: int = 1, types: Iterable[str] = ("USES", "READS", "WRITES")) -> DataFrame:
+        """(id, community) of programs by modularity of their coupling; programs that nothing couples are alone.
+
+        Without a coupling given, what programs share counts by resource and community, and no pairs are formed.
+        """
+        nodes = self.programs().select(F.col("asset_id").alias("id"))
+        if coupling is not None:
+            return G.communities(coupling, nodes)
+        calls, use = self.calls_and_uses(call, types)
+        return G.communities(calls, nodes, uses=use, shared=float(shared))
 
     def services(self, minimum: int = 1, labels: DataFrame | None = None) -> DataFrame:
         """A row for each community: relationships inside and across, cohesion, coupling, fitness, confidence, pattern, shared data."""
-        labels = labels if labels is not None else self.communities(self.coupling(3, 1, [t for t in V.COUPLING if "CALL" not in t]))
+        labels = labels if labels is not None else self.communities(call=3, types=[t for t in V.COUPLING if "CALL" not in t])
         end = lambda side: labels.select(F.col("id").alias(f"{side}_id"), F.col("community").alias(f"{side}_c"))
         r = self.relationships.select("source_id", "rel_type", "target_id").join(end("source"), "source_id", "left").join(end("target"), "target_id", "left")
         inside = F.coalesce(F.col("source_c") == F.col("target_c"), F.lit(False))

@@ -21,19 +21,19 @@ DETAILED = {"READS": "READS_TABLE", "WRITES": "WRITES_TABLE", "USES": "USES_COPY
 def estate(spark: SparkSession, sf_dir: str, detailed: bool = False) -> Estate:
     a = frame(spark, sf_dir, "SELECT * FROM code_asset")
     held = F.map_filter(F.create_map(F.lit("language"), F.col("language"), F.lit("line_count"), F.col("line_count").cast("string")), lambda _, v: v.isNotNull())
-    a = a.withColumn("attributes", held).drop("language", "line_count")
+    rounds = G.Rounds(spark, "projected")  # every question asks for these more than once
+    a = rounds.write(a.withColumn("attributes", held).drop("language", "line_count"))
     r = frame(spark, sf_dir, "SELECT * FROM code_rel")
     if detailed:
         named = F.create_map(*[F.lit(x) for kv in DETAILED.items() for x in kv])
         r = r.withColumn("rel_type", F.coalesce(named[F.col("rel_type")], "rel_type"))
     r = r.withColumn("relationship_id", F.concat_ws("|", "source_id", "rel_type", "target_id", "line")).withColumn("path", F.lit("lineitem"))
     step = F.when(F.col("rel_type") == "EXECUTES", F.create_map(F.lit("order"), F.lit("1"), F.lit("step"), F.concat(F.lit("S"), F.col("line")))).otherwise(F.create_map().cast("map<string,string>"))
-    r = r.withColumn("attributes", step)
+    r = rounds.write(r.withColumn("attributes", step))
     e = r.where("method = 'static'").select(F.lit("RELATIONSHIP").alias("entity_kind"), F.col("relationship_id").alias("entity_id"), "path", F.col("line").alias("line_start"), (F.col("line") + F.when(F.col("status") == "inferred", -1).otherwise(1)).alias("line_end"), "confidence", "status")
     proof = a.where("path IS NOT NULL").select(F.lit("ASSET").alias("entity_kind"), F.col("asset_id").alias("entity_id"), "path", F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"), "confidence", "status")
     return Estate(a, r, e.unionByName(proof), a.where("path IS NOT NULL").select("path", F.length("path").alias("size_bytes")))
 
-
 def runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "SELECT * FROM code_runtime")
 
@@ -349,10 +349,8 @@ def estate_domains(spark, sf_dir):
 
 @query()
 def estate_communities(spark, sf_dir):
-    """2.5-10, 2.5-11: communities of programs by their calls, with their labels; their modularity is tested."""
-    e = estate(spark, sf_dir)
-    w = e._rel("CALLS").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(2).alias("w")).where("a <> b")
-    found = G.communities(w, e.programs().select(F.col("asset_id").alias("id")))
+    """2.5-10, 2.5-11: communities of programs by their calls and all that they share, with their labels; their modularity is tested."""
+    found = estate(spark, sf_dir).communities()
     return found.join(group_labels(found.select("community", F.substring_index("id", ":", -1).alias("name"))), "community")
 
 

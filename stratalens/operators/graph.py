@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..plans.projection import frame, with_
 
@@ -138,37 +139,68 @@ def pagerank(edges: DataFrame, turns: int = 50, damping: float = 0.85) -> DataFr
     return rank.select("id", "rank")
 
 
-def communities(weights: DataFrame, nodes: DataFrame, passes: int = 5, turns: int = 12) -> DataFrame:
+def communities(weights: DataFrame, nodes: DataFrame, passes: int = 5, turns: int = 12, uses: DataFrame | None = None, shared: float = 1.0, candidates: int = 64) -> DataFrame:
     """(id, community) by modularity: local moves, then the same again between communities (Louvain's method in turns).
 
     weights (a, b, w) is undirected, a pair may come in many rows; nodes (id) without an edge are communities of their
     own.  In a turn half of the vertices (by hash) may move to the neighbouring community of the greatest gain, if that
     is above none; moves at once can spoil each other, so a turn that lowers modularity is taken back and ends the pass.
+
+    uses (id, resource): two vertices that use one thing hang together by `shared` for it.  Their pairs are never formed:
+    a vertex's weight to a community is the sum, over what it uses, of how many there use it too, and these counts are
+    kept by resource and community.  Of a resource that more than `candidates` communities use, those that use it most
+    are moved to through it; degrees, what a vertex has at home and modularity are exact all the same.
     """
     rounds = Rounds(weights.sparkSession, "communities")
     pairs = weights.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("w").cast("double")).alias("w"))
     level = rounds.write(pairs)
+    used = None if uses is None else rounds.write(uses.select("id", "resource").distinct().withColumn("m", F.lit(1.0)))
+    users = None if used is None else rounds.write(used.groupBy("resource").agg(F.sum("m").alias("n")))
     total = level.agg(F.sum("w")).first()[0] or 0.0
+    if users is not None:
+        total += shared * (users.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0)
     label = rounds.write(nodes.select("id").distinct().withColumn("community", F.col("id")))
     if not total:
         return label
     for turn_of in range(passes):
         both = rounds.write(level.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(level.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
         loops = level.where("a = b").select(F.col("a").alias("id"), (2 * F.col("w")).alias("d"))
-        degree = rounds.write(both.select(F.col("u").alias("id"), F.col("w").alias("d")).unionByName(loops).groupBy("id").agg(F.sum("d").alias("k")))
+        ends = both.select(F.col("u").alias("id"), F.col("w").alias("d")).unionByName(loops)
+        if used is not None:
+            ends = ends.unionByName(used.join(users, "resource").select("id", (shared * F.col("m") * (F.col("n") - 1)).alias("d")))
+        degree = rounds.write(ends.groupBy("id").agg(F.sum("d").alias("k")))
         own = rounds.write(degree.select("id", F.col("id").alias("community")))
 
+        def counts(labels: DataFrame) -> DataFrame:
+            """How many members of each community use each resource."""
+            return used.join(labels, "id").groupBy("resource", "community").agg(F.sum("m").alias("in"))
+
         def quality(labels: DataFrame) -> float:
             la, lb = labels.select(F.col("id").alias("a"), F.col("community").alias("ca")), labels.select(F.col("id").alias("b"), F.col("community").alias("cb"))
             inside = level.join(la, "a").join(lb, "b").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+            if used is not None:
+                inside += shared * (counts(labels).agg(F.sum(F.col("in") * (F.col("in") - 1) / 2)).first()[0] or 0.0)
             held = degree.join(labels, "id").groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
             return inside / total - held / (4 * total * total)
 
+        def through_resources() -> DataFrame:
+            """(id, community, w): weights to communities by what they use in common."""
+            c = rounds.write(counts(own))
+            rank = F.row_number().over(W.partitionBy("resource").orderBy(F.desc("in"), "community"))
+            most = c.withColumn("rank", rank).where(F.col("rank") <= candidates).drop("rank")
+            mine = used.join(own.withColumnRenamed("community", "home"), "id")
+            at_home = mine.join(c.withColumnRenamed("community", "home"), ["resource", "home"]).select("id", F.col("home").alias("community"), (shared * F.col("m") * (F.col("in") - F.col("m"))).alias("w"))
+            away = mine.join(most, "resource").where("community <> home").select("id", "community", (shared * F.col("m") * F.col("in")).alias("w"))
+            return at_home.unionByName(away)
+
         best, start = quality(own), None
         start = best
         for turn in range(turns):
             sizes = degree.join(own, "id").groupBy("community").agg(F.sum("k").alias("size"))
-            near = both.join(own.select(F.col("id").alias("v"), "community"), "v").groupBy(F.col("u").alias("id"), "community").agg(F.sum("w").alias("to"))
+            near = both.join(own.select(F.col("id").alias("v"), "community"), "v").select(F.col("u").alias("id"), "community", "w")
+            if used is not None:
+                near = near.unionByName(through_resources())
+            near = near.groupBy("id", "community").agg(F.sum("w").alias("to"))
             here = degree.join(own, "id").select("id", "k", F.col("community").alias("home"))
             gain = near.join(here, "id").join(sizes, "community")
             inner = F.when(F.col("community") == F.col("home"), F.col("size") - F.col("k")).otherwise(F.col("size"))
@@ -189,6 +221,8 @@ def communities(weights: DataFrame, nodes: DataFrame, passes: int = 5, turns: in
         label = rounds.write(label.join(own.select(F.col("id").alias("community"), F.col("community").alias("up")), "community", "left").select("id", F.coalesce("up", "community").alias("community")))
         la, lb = own.select(F.col("id").alias("a"), F.col("community").alias("ca")), own.select(F.col("id").alias("b"), F.col("community").alias("cb"))
         level = rounds.write(level.join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+        if used is not None:
+            used = rounds.write(used.join(own, "id").groupBy(F.col("community").alias("id"), "resource").agg(F.sum("m").alias("m")))
     return label
 
 

@@ -171,12 +171,19 @@ def data_items(members: DataFrame) -> DataFrame:
 def with_parents(items: DataFrame) -> DataFrame:
     """data_items() with the group that each stands in: the nearest item above of a lower level; 01 and 77 have none.
 
-    A member's items are one record's, so they are met in one array a member.
+    A member's items are one record's: one fold over them keeps the stack of open groups, of lower levels only.
     """
+    entry = "struct<level:int,name:string>"
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("open"), F.array().cast("array<struct<line:int,parent:string>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        above = F.filter(s["open"], lambda g: g["level"] < x["level"])
+        parent = F.when(~x["level"].isin(1, 77), F.try_element_at(above, F.lit(-1))["name"])
+        return F.struct(F.array_append(above, F.struct(x["level"].alias("level"), x["name"].alias("name"))).alias("open"), F.array_append(s["out"], F.struct(x["line"].alias("line"), parent.alias("parent"))).alias("out"))
+
     held = items.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "level", "name"))).alias("all"))
-    above = F.filter("all", lambda x: (x["line"] < F.col("line")) & (x["level"] < F.col("level")))
-    deepest = F.when(~F.col("level").isin(1, 77), F.try_element_at(above, F.lit(-1))["name"])
-    return items.join(held, "path").withColumn("parent", deepest).drop("all")
+    found = held.select("path", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x"))
+    return items.join(found.select("path", "x.line", "x.parent"), ["path", "line"])
 
 
 def record_lengths(items: DataFrame) -> DataFrame:
