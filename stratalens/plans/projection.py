@@ -33,14 +33,15 @@ CTES = {
         UNION ALL SELECT job_id, 'EXECUTES', program_id, 1.0E0, 'confirmed', step_order FROM step
         UNION ALL SELECT program_id, rel_type, tab, 1.0E0, 'confirmed', event_id FROM access""",
     "runtime": "SELECT concat('P', CAST(user_id AS STRING)) AS entity_id, count(*) AS exec_count, max(ts) AS last_run FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1",
-    # parts are programs: lines of an order that follow each other call if much was ordered, first lines of little are entered
+    # parts are programs: lines of an order that follow each other call if much was ordered, first lines of little are entered,
+    # all other lines access a supplier's table; every part uses its brand's copybook
     "code_line": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS before, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem",
     "code_rel": """
         SELECT concat('PROGRAM:P', CAST(before AS STRING)) AS source_id, 'CALLS' AS rel_type, concat('PROGRAM:P', CAST(l_partkey AS STRING)) AS target_id, CASE l_returnflag WHEN 'R' THEN 1.0E0 WHEN 'A' THEN 0.7E0 ELSE 0.3E0 END AS confidence, CASE l_returnflag WHEN 'R' THEN 'confirmed' WHEN 'A' THEN 'inferred' ELSE 'needs_review' END AS status, CASE WHEN l_quantity = 50 AND l_linestatus = 'O' THEN 'cics' ELSE 'static' END AS method, l_orderkey * 10 + k AS line FROM code_line WHERE before IS NOT NULL AND before <> l_partkey AND l_quantity >= 48
         UNION ALL SELECT concat('JOB:J', CAST(l_orderkey AS STRING)), 'EXECUTES', concat('PROGRAM:P', CAST(l_partkey AS STRING)), 1.0E0, 'confirmed', 'static', l_orderkey * 10 + k FROM code_line WHERE k = 1 AND l_quantity <= 2
         UNION ALL SELECT concat('TRANSACTION:X', CAST(l_suppkey AS STRING)), 'STARTS', concat('PROGRAM:P', CAST(l_partkey AS STRING)), 1.0E0, 'confirmed', 'static', l_orderkey * 10 + k FROM code_line WHERE k = 1 AND l_quantity = 3
-        UNION ALL SELECT concat('PROGRAM:P', CAST(l_partkey AS STRING)), CASE l_linestatus WHEN 'O' THEN 'READS' ELSE 'WRITES' END, concat('TABLE:T', CAST(l_suppkey AS STRING)), 1.0E0, 'confirmed', 'static', l_orderkey * 10 + k FROM code_line WHERE l_quantity IN (30, 31)
-        UNION ALL SELECT concat('PROGRAM:P', CAST(p_partkey AS STRING)), 'USES', concat('COPYBOOK:', upper(p_brand)), 1.0E0, 'confirmed', 'static', 1 FROM part WHERE p_size > 30""",
+        UNION ALL SELECT concat('PROGRAM:P', CAST(l_partkey AS STRING)), CASE l_linestatus WHEN 'O' THEN 'READS' ELSE 'WRITES' END, concat('TABLE:T', CAST(l_suppkey AS STRING)), 1.0E0, 'confirmed', 'static', l_orderkey * 10 + k FROM code_line WHERE NOT (before IS NOT NULL AND before <> l_partkey AND l_quantity >= 48) AND NOT (k = 1 AND l_quantity <= 3)
+        UNION ALL SELECT concat('PROGRAM:P', CAST(p_partkey AS STRING)), 'USES', concat('COPYBOOK:', upper(p_brand)), 1.0E0, 'confirmed', 'static', 1 FROM part""",
     "code_asset": """
         SELECT concat('PROGRAM:P', CAST(p_partkey AS STRING)) AS asset_id, 'PROGRAM' AS asset_type, concat('P', CAST(p_partkey AS STRING)) AS name, CASE WHEN p_size >= 45 THEN 'UNRESOLVED' ELSE 'OBSERVED' END AS state, CASE WHEN p_size >= 45 THEN 0.5E0 ELSE 1.0E0 END AS confidence, CASE WHEN p_size >= 45 THEN 'needs_review' ELSE 'confirmed' END AS status, CASE WHEN p_size < 45 THEN concat(lower(p_type), '/P', CAST(p_partkey AS STRING)) END AS path, p_type AS language, p_size AS line_count FROM part
         UNION ALL SELECT DISTINCT source_id, 'JOB', substr(source_id, 5), 'OBSERVED', 1.0E0, 'confirmed', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS INTEGER) FROM code_rel WHERE rel_type = 'EXECUTES'
