@@ -37,8 +37,8 @@ BEGIN, END = f"{OPEN}turn{CLOSE}", f"{OPEN}end{CLOSE}"
 FOREIGN = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 _ESCAPE = re.compile("|".join(map(re.escape, (OPEN, CLOSE, *FOREIGN))))
 _CODES = {OPEN: "o", CLOSE: "c"} | {s: str(i) for i, s in enumerate(FOREIGN)}
-_BACK = {v: k for k, v in _CODES.items()}
-_UNESCAPE = re.compile(f"{OPEN}x([oc0-9]+){CLOSE}")
+_BACK = {v: k for k, v in _CODES.items()} | {"n": "\n"}
+_UNESCAPE = re.compile(f"{OPEN}x([ocn0-9]+){CLOSE}")
 
 
 def escape(text: str) -> str:
@@ -46,13 +46,18 @@ def escape(text: str) -> str:
     return _ESCAPE.sub(lambda m: f"{OPEN}x{_CODES[m[0]]}{CLOSE}", text)
 
 
+def escape_role(role: str) -> str:
+    """role without a control string or a line end, which would end it."""
+    return escape(role).replace("\n", f"{OPEN}xn{CLOSE}")
+
+
 def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: _BACK[m[1]], text)
 
 
 def marked(turns: Sequence[Turn]) -> str:
     """The template: a mark, the role, a line end, the text, a mark, a line end."""
-    return "".join(f"{BEGIN}{escape(role)}\n{escape(text)}{END}\n" for role, text in turns)
+    return "".join(f"{BEGIN}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
 class RewritesHistory(ValueError):

@@ -110,3 +110,8 @@ def test_conversations_are_read_back(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(text), hashlib.sha256(text.encode()).hexdigest())
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_roles_with_line_ends_come_back():
+    turns = [("a\nb", "c"), ("", "\n"), ("user⟨xn⟩", "⟨xn⟩"), ("assistant", "x\ny")]
+    assert chat.read_turns(chat.marked(turns)) == turns
