@@ -509,12 +509,22 @@ class Estate:
     def dependency_graph(self, root: str, direction: str = "both", depth: int = 4, limit: int = 1500):
         return self.slice(root, direction, depth, limit, V.DEPENDENCY, deepest=12, most=10_000)
 
-    def required_files(self, root: str, depth: int = 8, limit: int = 5000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """Files that an asset's dependencies come from, the evidence of what is in the slice, what kinds it holds, and its counts."""
+    def required_files(self, root: str, depth: int = 8, limit: int = 5000, evidence_limit: int | None = 2000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Files that an asset's dependencies come from, the evidence of what is in the slice, what kinds it holds, and its counts.
+
+        The first `evidence_limit` pieces of evidence are given, as in the reference, all with None; evidence_truncated tells
+        whether there are more.
+        """
         nodes, edges, stats = self.dependency_graph(root, depth=depth, limit=limit)
         files = nodes.where("path IS NOT NULL").join(self.members, "path") if self.members is not None else nodes.where("path IS NOT NULL")
         ids = nodes.select(F.col("asset_id").alias("entity_id")).union(edges.select("relationship_id"))
-        proof = self.evidence.join(ids, "entity_id", "left_semi").orderBy("path", "line_start").limit(2000) if self.evidence is not None else None
+        proof, cut = None, F.lit(False)
+        if self.evidence is not None:
+            proof = every = self.evidence.join(ids, "entity_id", "left_semi")
+            if evidence_limit is not None:
+                proof = every.orderBy("path", "line_start").limit(evidence_limit)
+                stats, cut = stats.crossJoin(every.agg((F.count(F.lit(1)) > evidence_limit).alias("more"))), F.col("more")
+        stats = stats.withColumn("evidence_truncated", cut).drop("more")
         kind = F.when(F.col("asset_type").isin("PROGRAM", "JOB", "COPYBOOK"), F.lower("asset_type")).when(F.col("asset_type").isin("TABLE", "FILE", "DATASET", "MQ_QUEUE", "MAP"), "data_asset")
         kinds = nodes.select(F.explode(F.array_compact(F.array(kind, F.when(F.col("status").isin(*RISKY), "unresolved")))).alias("kind"), "name")
         return files, proof, kinds, stats
@@ -543,16 +553,26 @@ class Estate:
         all_ = size.join(held, "component", "left").join(best, "component").fillna(0, ["relationships", "unresolved"])
         return all_.select("component", "root_asset_id", "assets", "programs", "data", "relationships", "unresolved", F.round(F.least(F.lit(1.0), F.col("unresolved") * 0.08 + F.col("assets") / 3000.0), 3).alias("risk"), F.round(F.coalesce("sure", F.lit(0.45)), 3).alias("confidence"))
 
-    def root_summary(self, depth: int = 8, limit: int = 1500) -> DataFrame:
-        """For each entry point: assets, programs and data near it (to the depth, the nearest `limit`), unresolved edges and risk."""
+    def root_summary(self, depth: int = 8, limit: int | None = 1500) -> DataFrame:
+        """For each entry point: assets, programs and data near it (to the depth, the nearest `limit`), unresolved edges and risk.
+
+        truncated tells whether more is near than the limit, which is the reference's; with None all counts.
+        """
         ends = self.relationships.select("source_id", "target_id", "confidence", "status")
         flip = ends.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "confidence", "status")
         at = self.named(G.bfs(G.best_edges(ends.unionByName(flip)), self.entry_points(), depth=depth).select("root", "id", "dist")).where("name IS NOT NULL")
         rounds = G.Rounds(self.spark, "roots")
-        near = rounds.write(at.withColumn("k", F.row_number().over(W.partitionBy("root").orderBy("dist", "name", "id"))).where(F.col("k") <= limit).drop("k"))
+        cut = at.limit(0).select("root", F.lit(True).alias("truncated"))
+        if limit is None:
+            near = rounds.write(at)
+        else:
+            near = rounds.write(at.withColumn("k", F.row_number().over(W.partitionBy("root").orderBy("dist", "name", "id"))).where(F.col("k") <= limit + 1))
+            cut = near.where(F.col("k") > limit).select("root", F.lit(True).alias("truncated"))
+            near = near.where(F.col("k") <= limit).drop("k")
         edges = self.relationships.join(near.select("root", F.col("id").alias("source_id")), "source_id").join(near.select("root", F.col("id").alias("target_id")), ["root", "target_id"], "left_semi")
         unsure = edges.groupBy("root").agg(F.count_if(F.col("status").isin(*RISKY)).alias("unresolved"))
         held = near.groupBy("root").agg(F.count(F.lit(1)).alias("assets"), F.count_if(F.col("asset_type") == "PROGRAM").alias("programs"), F.count_if(F.col("asset_type").isin(*V.DATA_TYPES)).alias("data"))
+        held = held.join(cut, "root", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
         return held.join(unsure, "root", "left").fillna(0, ["unresolved"]).withColumn("label", name_words(F.substring_index("root", ":", -1))).withColumn("risk", F.round(F.least(F.lit(1.0), F.col("unresolved") * 0.08 + F.col("assets") / 3000.0), 3))
 
     def node_degree(self) -> DataFrame:
@@ -565,10 +585,11 @@ class Estate:
         r = self._rel(rel.upper()).select("source_id", "target_id")
         return r.join(s.select(F.col("asset_id").alias("source_id"), F.col("name").alias("left_name")), "source_id").join(t.select(F.col("asset_id").alias("target_id"), F.col("name").alias("right_name")), "target_id").groupBy("left_name", "right_name").agg(F.count(F.lit(1)).alias("weight")).orderBy(F.desc("weight"), "left_name", "right_name").limit(5000)
 
-    def run_insights(self) -> DataFrame:
-        """(kind, title, detail) that a run says of itself: its inventory, its entry points and its gaps."""
+    def run_insights(self, examples: int = 20) -> DataFrame:
+        """(kind, title, detail) that a run says of itself: its inventory, its entry points (how many, and the first by id) and its gaps."""
         kinds = self.assets.groupBy("asset_type").agg(F.count(F.lit(1)).alias("n")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset_type", "n"))))).alias("detail"))
-        roots = self.entry_points().agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("id")), 1, 20), ",").alias("detail"))
+        first = self.entry_points().orderBy("id").limit(examples).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("detail"))
+        roots = self.entry_points().agg(F.count(F.lit(1)).alias("n")).crossJoin(first)
         gaps = self.relationships.agg(F.count_if(F.col("status").isin(*RISKY)).alias("n")).crossJoin(self.assets.agg(F.count_if(F.col("state") == "UNRESOLVED").alias("u")))
         row = lambda df, kind, title, detail: df.select(F.lit(kind).alias("kind"), title.alias("title"), detail.alias("detail"))
         return row(kinds, "INVENTORY", F.lit("assets by type"), F.col("detail")).unionByName(row(roots, "ROOT", F.concat(F.col("n"), F.lit(" entry points")), F.col("detail"))).unionByName(row(gaps, "GAPS", F.concat(F.col("n"), F.lit(" relationships need review")), F.concat(F.col("u"), F.lit(" assets without a source"))))

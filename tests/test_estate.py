@@ -131,6 +131,15 @@ def test_impact_lineage_and_files(fine):
     assert {r.name for r in kinds.where("kind = 'unresolved'").collect()} == {"BANK.RATES"}
 
 
+def test_bounds_say_when_they_cut(fine):
+    cut, whole = fine.required_files("PROGRAM:BALUPD", depth=1, evidence_limit=2), fine.required_files("PROGRAM:BALUPD", depth=1, evidence_limit=None)
+    assert cut[1].count() == 2 < whole[1].count() and cut[3].first().evidence_truncated and not whole[3].first().evidence_truncated
+    few, all_ = {r.root: r for r in fine.root_summary(depth=2, limit=1).collect()}, {r.root: r for r in fine.root_summary(depth=2, limit=None).collect()}
+    assert {r.assets for r in few.values()} == {1} and all(few[k].truncated == (all_[k].assets > 1) for k in all_) and not any(r.truncated for r in all_.values())
+    roots = fine._ids("PROGRAM:POSTDRV").withColumnRenamed("id", "asset_id")
+    assert {r.truncated for r in fine.coverage(roots, limit=1).collect()} == {True} and {r.truncated for r in fine.coverage(roots, limit=None).collect()} == {False}
+
+
 def test_slice_says_when_it_is_cut(fine):
     nodes, edges, stats = fine.slice("PROGRAM:BALUPD", depth=1, limit=3)
     assert nodes.count() == 3 and stats.first().truncated and nodes.orderBy("dist", "name").first().asset_id == "PROGRAM:BALUPD"
