@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans import vocabulary as V
+from . import condense
 from . import graph as G
 
 RISKY = ("inferred", "needs_review")
@@ -201,6 +202,25 @@ class Estate:
         grouped = orphans.join(G.components(near), "id", "left").select(F.coalesce("component", "id").alias("root"), "id")
         return led.withColumn("rootless", F.lit(False)).unionByName(grouped.withColumn("rootless", F.lit(True)))
 
+    def capability_sizes(self) -> DataFrame:
+        """(root, programs, tables, copybooks): how many each root's capability holds, without a row for each member.
+
+        Counts are those of capability_members() of roots, and of what these use, by sets over the condensed graph.
+        """
+        have = self.programs().select(F.col("asset_id").alias("id"))
+        use = self._rel("READS", "WRITES", "USES").select(F.col("source_id").alias("id"), F.when(F.col("rel_type") == "USES", "copybooks").otherwise("tables").alias("kind"), F.col("target_id").alias("item"))
+        held = have.select("id", F.lit("programs").alias("kind"), F.col("id").alias("item")).unionByName(use.join(have, "id", "left_semi"))
+        got = condense.reach_counts(self._rel("CALLS", confirmed=True), held, self.roots())
+        kinds = ("programs", "tables", "copybooks")
+        counts = got.groupBy("root").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("long").alias(k) for k in kinds])
+        return counts.where("programs > 0")
+
+    def rings(self) -> DataFrame:
+        """(ring, id) of programs that call each other in a ring, however long; ring is the least of them."""
+        at = condense.strong_components(self._rel("CALLS"))
+        many = at.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return at.join(many, "component", "left_semi").select(F.col("component").alias("ring"), "id")
+
     def capabilities(self) -> DataFrame:
         """A row for each capability: label, root, rootless, confidence, jobs, programs, tables, copybooks."""
         m = self.capability_members()

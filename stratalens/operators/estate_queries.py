@@ -144,6 +144,21 @@ def estate_capability_members(spark, sf_dir):
     return estate(spark, sf_dir).capability_members()
 
 
+@query(f"""WITH {ROOTS}, {PROGRAMS}, c AS (SELECT DISTINCT source_id AS x, target_id AS y FROM code_rel WHERE rel_type = 'CALLS' AND status = 'confirmed'),
+    w AS (SELECT id AS root, id FROM roots UNION SELECT w.root, c.y FROM w JOIN c ON c.x = w.id), m AS (SELECT root, id FROM w WHERE id IN (SELECT id FROM progs)),
+    u AS (SELECT DISTINCT m.root, r.rel_type = 'USES' AS book, r.target_id FROM m JOIN code_rel r ON r.source_id = m.id AND r.rel_type IN ('READS', 'WRITES', 'USES'))
+    SELECT p.root, p.n AS programs, (SELECT count(*) FROM u WHERE u.root = p.root AND NOT book) AS tables, (SELECT count(*) FROM u WHERE u.root = p.root AND book) AS copybooks FROM (SELECT root, count(*) AS n FROM m GROUP BY root) p""")
+def estate_capability_sizes(spark, sf_dir):
+    """2.5-3 counted: sets over the condensed graph."""
+    return estate(spark, sf_dir).capability_sizes()
+
+
+@query("WITH c AS (SELECT DISTINCT source_id AS x, target_id AS y FROM code_rel WHERE rel_type = 'CALLS'), w AS (SELECT x, y FROM c UNION SELECT w.x, c.y FROM w JOIN c ON c.x = w.y), m AS (SELECT a.x AS id, a.y FROM w a JOIN w b ON a.x = b.y AND a.y = b.x), r AS (SELECT id, min(y) AS ring FROM m GROUP BY id) SELECT ring, id FROM r WHERE ring IN (SELECT ring FROM r GROUP BY ring HAVING count(*) > 1)")
+def estate_rings(spark, sf_dir):
+    """2.5-27: programs that call each other in rings."""
+    return estate(spark, sf_dir).rings()
+
+
 @query(f"WITH {CLOSURE} SELECT m.root, m.rootless, CASE WHEN m.rootless THEN 0.3E0 ELSE 0.5E0 END AS confidence, count(DISTINCT m.id) AS programs, count(DISTINCT CASE WHEN r.rel_type <> 'USES' THEN r.target_id END) AS tables, count(DISTINCT CASE WHEN r.rel_type = 'USES' THEN r.target_id END) AS copybooks, CASE WHEN m.rootless THEN 0 ELSE (SELECT count(DISTINCT source_id) FROM code_rel j WHERE j.rel_type = 'EXECUTES' AND j.target_id = m.root) END AS jobs FROM member m LEFT JOIN code_rel r ON r.source_id = m.id AND r.rel_type IN ('READS', 'WRITES', 'USES') GROUP BY m.root, m.rootless")
 def estate_capabilities(spark, sf_dir):
     """2.5-3, 2.4-36."""
