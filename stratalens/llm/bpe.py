@@ -5,7 +5,7 @@ rank * width + position of the pair that begins there, so that the root is the l
 A merge changes at most three leaves: the merged part, the part swallowed, and the live neighbour to the left.
 
 Edge cases: a null or empty text has no ids and decodes to no bytes; a text of any length is encoded whole;
-repeated rows are encoded alike; columns named like the outputs are replaced; an empty table stays empty.
+repeated rows are encoded alike; columns named like the outputs are replaced, the text's own too; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches
+from .common import fresh, replaced, small_batches
 
 NONE = 1 << 62
 
@@ -197,27 +197,24 @@ def codec(rank_path: str, pattern: str) -> BytePairCodec:
     return _codecs[key]
 
 
-def _added(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c in names])
-
-
 def encode_decode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """df with its text's ids (array of int) and the bytes that these ids decode to."""
     small_batches(df.sparkSession)
-    keep = _added(df, [ids, decoded])
+    keep, (own_text,) = replaced(df, [ids, decoded], text)
     schema = T.StructType([*keep.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path, pattern)
         for batch in batches:
-            packed = [own.encode_packed(t) for t in batch.column(text).to_pylist()]
+            packed = [own.encode_packed(t) for t in batch.column(own_text).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int64)
             flat = np.frombuffer(b"".join(packed), "<i4")
             back = [own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(back, pa.binary())], names=[*batch.schema.names, ids, decoded])
 
-    return keep.mapInArrow(run, schema)
+    out = keep.mapInArrow(run, schema)
+    return out if own_text == text else out.drop(own_text)
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -229,16 +226,17 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
 def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """df with the bytes of its ids; null ids are no ids."""
     small_batches(df.sparkSession)
-    keep = _added(df, [decoded])
+    keep, (own_ids,) = replaced(df, [decoded], ids)
     schema = T.StructType([*keep.schema.fields, T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path, pattern)
         for batch in batches:
-            back = [own.decode(x or ()) for x in batch.column(ids).to_pylist()]
+            back = [own.decode(x or ()) for x in batch.column(own_ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=[*batch.schema.names, decoded])
 
-    return keep.mapInArrow(run, schema)
+    out = keep.mapInArrow(run, schema)
+    return out if own_ids == ids else out.drop(own_ids)
 
 
 def digests(encoded: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:

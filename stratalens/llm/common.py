@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handed to Python in Arrow batches of so many rows and so many bytes (or one longer row), so that a batch of
 #: long texts stays small.  The same for all operators, as plans are worked out later than they are made.
@@ -23,6 +24,20 @@ def fresh(name: str, *taken: str) -> str:
     return name
 
 
+def replaced(df: DataFrame, outputs: tuple[str, ...] | list[str], *inputs: str) -> tuple[DataFrame, list[str]]:
+    """df without columns named like outputs, and what its columns named inputs are called in it.
+
+    An input that is named like an output stays, by another name; that column is to be dropped when it was read.
+    """
+    taken, names = {o.lower() for o in outputs}, []
+    for name in inputs:
+        own = fresh(name, *df.columns, *outputs) if name.lower() in taken else name
+        if own != name:
+            df = df.withColumn(own, F.col(name))
+        names.append(own)
+    return df.drop(*[c for c in df.columns if c.lower() in taken]), names
+
+
 def positioned(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
     """df with its columns renamed c0, c1, ... so that no name can clash; and the new names of the columns named."""
     own = [f"c{k}" for k in range(len(df.columns))]

@@ -6,7 +6,7 @@ and how often each class occurs, and each pattern gets the posterior probability
 
 Edge cases: a null or empty text has no words and fails the base rules; ties at a posterior of one half keep the
 document; an empty table gives an empty result; repeated rows are judged alike; a text of any length is measured whole;
-extra columns pass through, and columns named like the outputs are replaced.
+extra columns pass through, and columns named like the outputs are replaced, the text's own too.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import replaced, small_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -70,15 +70,16 @@ def measure(text: str | None) -> tuple[int, ...]:
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the measures of its whole texts."""
     small_batches(df.sparkSession)
-    keep = df.drop(*[c for c in df.columns if c in MEASURES])
+    keep, (own,) = replaced(df, MEASURES, text)
     schema = T.StructType([*keep.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([measure(t) for t in batch.column(text).to_pylist()], np.int64).reshape(-1, len(MEASURES))
+            got = np.array([measure(t) for t in batch.column(own).to_pylist()], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[:, k]) for k in range(len(MEASURES)))], names=[*batch.schema.names, *MEASURES])
 
-    return keep.mapInArrow(run, schema)
+    out = keep.mapInArrow(run, schema)
+    return out if own == text else out.drop(own)
 
 
 def _vote(good: Column, bad: Column) -> Column:

@@ -10,16 +10,18 @@ Equal rows are counted before they are dealt and numbered by explode, so a row t
 is one record until then, and comes out in parts that are dealt to all tasks.
 
 Edge cases: null keys or texts are values like any other; an empty table gives an empty result; equal rows get
-different places; fewer rows than shards leave shards empty; columns named like the outputs are replaced.
+different places; fewer rows than shards leave shards empty; columns named like the outputs are replaced, keys too;
+maps are compared by their sorted entries, which must have an order (no maps within).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import fresh
+from .common import fresh, replaced
 
 ROUNDS, WALK = 8, 64
 
@@ -59,7 +61,7 @@ def place(number: Column, total: Column, shards: int, seed: int) -> tuple[Column
 
 
 def numbered(df: DataFrame, keys: list[str], number: str = "row_number", total: str = "total", buckets: int = 4096, most: int = 100_000) -> DataFrame:
-    """df with number (0..N-1, the same on each run) and total (N).  keys: columns that spread rows; no map columns.
+    """df with number (0..N-1, the same on each run) and total (N).  keys: columns that spread rows.  No column is a map.
 
     Copies of a row come out in parts of `most`, dealt to all tasks, so that none makes a hot row's copies alone.
     """
@@ -82,7 +84,10 @@ def numbered(df: DataFrame, keys: list[str], number: str = "row_number", total:
 
 def shard(df: DataFrame, keys: list[str], shards: int = 8, seed: int = 20240229, buckets: int = 4096, most: int = 100_000) -> DataFrame:
     """df's rows with shard and slot, dealt evenly by rows."""
-    base = df.drop(*[c for c in df.columns if c in ("shard", "slot")])
-    number, total = (fresh(n, *df.columns) for n in ("row_number", "total"))
+    base, own = replaced(df, ["shard", "slot"], *keys)
+    maps = [f.name for f in base.schema.fields if isinstance(f.dataType, T.MapType)]
+    base = base.withColumns({m: F.array_sort(F.map_entries(m)) for m in maps})
+    number, total = (fresh(n, *base.columns, "shard", "slot") for n in ("row_number", "total"))
     s, t = place(F.col(number), F.col(total), shards, seed)
-    return numbered(base, keys, number, total, buckets, most).withColumn("shard", s).withColumn("slot", t).drop(number, total)
+    out = numbered(base, own, number, total, buckets, most).withColumns({m: F.map_from_entries(m) for m in maps})
+    return out.withColumn("shard", s).withColumn("slot", t).drop(number, total, *[a for a, b in zip(own, keys, strict=True) if a != b])

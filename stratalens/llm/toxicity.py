@@ -12,7 +12,7 @@ Edge cases: null and empty texts match nothing and get the score of no match; ro
 repeated documents; null labels and labels without a document are left out; without labels of both classes every score
 is 0.0; of terms of one weight the later in the alphabet is chosen first; a score of one half predicts 1; a text of any
 length, and a word of any length, is matched whole; an empty table gives an empty result; columns named like the outputs
-are replaced, others pass through whatever their names.
+are replaced, the text's own too, others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import replaced, small_batches
 from .jaccard import checked
 
 MAX_TERMS, FIT_ROWS = 2_000, 20_000
@@ -203,7 +203,8 @@ def _weighed(df: DataFrame, text: str, terms: dict[str, float]) -> DataFrame:
 def score(df: DataFrame, terms: dict[str, float], curve: list[float], text: str = "text") -> DataFrame:
     """df without the text, with weight, hits, words and score."""
     small_batches(df.sparkSession)
-    got = _weighed(df.drop("weight", "hits", "words", "score"), text, terms)
+    keep, (own,) = replaced(df, ["weight", "hits", "words", "score"], text)
+    got = _weighed(keep, own, terms)
     if not curve:
         return got.withColumn("score", F.lit(0.0))
     n = F.greatest(F.col("words"), F.lit(1))
