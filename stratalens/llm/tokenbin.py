@@ -309,6 +309,12 @@ class CachedTokenizer:
 _tokenizers: dict[str, CachedTokenizer] = {}
 
 
+def tasks_for(df: DataFrame, task_bytes: int = 512 << 20, most: int = 100_000) -> int:
+    """How many tasks df's rows go to: the session's shuffle partitions, and more where the plan's size asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, size // task_bytes))
+
+
 def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write df's shards under folder; a row for each: part, seq (their order), path, n_docs, n_tokens.
 
@@ -317,7 +323,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, i
     """
     spark = df.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks_for(df)
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
@@ -336,20 +342,24 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, i
                 f.write(dump(ids, lengths, np.concatenate(held)))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64())], names=["part", "seq", "path", "n_docs", "n_tokens"])
 
+        collects = gc.isenabled()
         gc.disable()  # a batch makes many short-lived lists and no cycles; looking for those costs a fifth of the time
-        for batch in batches:
-            sizes, tokens = own.encode(batch.column(1).to_pylist())
-            upto = np.cumsum(sizes)
-            for i, n, e in zip(batch.column(0).to_pylist(), sizes.tolist(), upto.tolist(), strict=True):
-                ids.append(i)
-                lengths.append(n + 1)
-                held += [tokens[e - n : e], end]
-                size += n + 1
-                if size >= shard_tokens:
-                    yield close()
-                    ids, lengths, held, size = [], [], [], 0
-                    seq += 1
-        gc.enable()
+        try:
+            for batch in batches:
+                sizes, tokens = own.encode(batch.column(1).to_pylist())
+                upto = np.cumsum(sizes)
+                for i, n, e in zip(batch.column(0).to_pylist(), sizes.tolist(), upto.tolist(), strict=True):
+                    ids.append(i)
+                    lengths.append(n + 1)
+                    held += [tokens[e - n : e], end]
+                    size += n + 1
+                    if size >= shard_tokens:
+                        yield close()
+                        ids, lengths, held, size = [], [], [], 0
+                        seq += 1
+        finally:  # also if the task fails or its rows aren't all asked for: a worker is used again
+            if collects:
+                gc.enable()
         if ids:
             yield close()
 
@@ -377,7 +387,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.ids, pa.int64()), pa.array(s[:-1] + start), pa.array(np.diff(s)), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # manifest is written: a row a file, of some megabytes each
+    parts = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count() // 64)
     return manifest.repartition(parts, "path").select("path", "start").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
