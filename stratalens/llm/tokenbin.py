@@ -311,7 +311,7 @@ _tokenizers: dict[str, CachedTokenizer] = {}
 
 def tasks_for(df: DataFrame, task_bytes: int = 512 << 20, most: int = 100_000) -> int:
     """How many tasks df's rows go to: the session's shuffle partitions, and more where the plan's size asks for it."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, size // task_bytes))
 
 
