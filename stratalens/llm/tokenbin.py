@@ -63,9 +63,10 @@ class WaveletMatrix:
         for k in range(max(0, len(alphabet) - 1).bit_length() - 1, -1, -1):
             bit = (now & now.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            low = now[~bit]
+            # by places, as picking by truth values costs twice as much where these follow no order
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([now.take(low), now.take(high)])
         return cls(alphabet, planes, zeros, len(tokens))
 
     def tokens(self) -> np.ndarray:
@@ -74,8 +75,8 @@ class WaveletMatrix:
         for k, (plane, z) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(now)
-            up[~bit] = now[:z]
-            up[bit] = now[z:] | (1 << k)
+            up[np.flatnonzero(~bit)] = now[:z]
+            up[np.flatnonzero(bit)] = now[z:] | (1 << k)
             now = up
         return self.alphabet[now] if self.n else np.empty(0, np.uint32)
 
