@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import deep_queries, extraction, semantics, sqlmodel
+from stratalens.operators import deep_queries, estate_queries, extraction, semantics, sqlmodel
+from stratalens.operators.estate_graph import Estate
 from stratalens.operators.graph import Rounds
 
 
@@ -43,3 +44,47 @@ def test_parsed_rows_are_read_to_python_once(spark, orders):
     p = deep_queries.programs(spark, orders)
     for df in (semantics.nested(p), sqlmodel.columns(sqlmodel.statements(p)), deep_queries.storage_aliases(spark, orders)):
         assert "MapInPandas" not in _plan(df)
+
+
+def _oracle(name: str, edges: list[tuple], assets: list[tuple]) -> list[tuple]:
+    """An oracle's rows over a code graph given as rows, in place of the projection."""
+    import duckdb
+
+    sql = estate_queries.ORACLE[name]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE code_rel (source_id VARCHAR, rel_type VARCHAR, target_id VARCHAR, confidence DOUBLE, status VARCHAR, method VARCHAR, line BIGINT)")
+    c.execute("CREATE TABLE code_asset (asset_id VARCHAR, asset_type VARCHAR)")
+    c.executemany("INSERT INTO code_rel VALUES (?, ?, ?, ?, 'confirmed', 'static', 1)", edges)
+    c.executemany("INSERT INTO code_asset VALUES (?, ?)", assets)
+    # the projection's own tables aren't read
+    for k in ("code_line", "code_rel", "code_asset"):
+        start = sql.find(f"{k} AS (")
+        if start >= 0:
+            at, deep = start + len(k) + 5, 1
+            while deep:
+                deep += (sql[at] == "(") - (sql[at] == ")")
+                at += 1
+            sql = sql[:start] + sql[at:].lstrip(", ")
+    return sorted(c.execute(sql).fetchall())
+
+
+def test_oracles_of_walks_have_no_depth_that_fits_small_data_only():
+    # a chain of 60 calls, entered at its head, above a table; a ring at its end
+    chain = [(f"PROGRAM:P{k:02d}", "CALLS", f"PROGRAM:P{k + 1:02d}", 0.9, ) for k in range(60)]
+    edges = [("JOB:J", "EXECUTES", "PROGRAM:P00", 1.0), *chain, ("PROGRAM:P60", "READS", "TABLE:T1", 1.0), ("PROGRAM:P60", "CALLS", "PROGRAM:P59", 0.5)]
+    got = _oracle("estate_blast_radius", edges, [("TABLE:T1", "TABLE")])
+    assert len(got) == 62 and max(r[2] for r in got) == 62
+    assert ("impacted", "PROGRAM:P60", 1, 1.0, False) in got and ("impacted", "PROGRAM:P00", 61, 0.9, True) in got
+    edges += [(f"PROGRAM:Q{k:02d}", "CALLS", f"PROGRAM:Q{k + 1:02d}", 1.0) for k in range(60)] + [("PROGRAM:Q60", "CALLS", "PROGRAM:AAA", 1.0), ("PROGRAM:AAA", "CALLS", "PROGRAM:Q60", 1.0), ("JOB:K", "EXECUTES", "PROGRAM:Q00", 1.0), ("PROGRAM:P00", "CALLS", "PROGRAM:Q60", 1.0)]
+    assert _oracle("estate_executing_jobs", edges, [("TABLE:T1", "TABLE")]) == [("JOB:J",), ("JOB:K",)]
+
+
+def test_required_files_are_not_cut(spark):
+    n = 12_000
+    ids = spark.range(n).select(F.concat(F.lit("PROGRAM:P"), "id").alias("asset_id"))
+    a = ids.select("asset_id", F.lit("PROGRAM").alias("asset_type"), F.substring("asset_id", 9, 9).alias("name"), F.lit("confirmed").alias("status"), F.col("asset_id").alias("path"))
+    r = ids.where("asset_id <> 'PROGRAM:P0'").select(F.col("asset_id").alias("relationship_id"), F.lit("PROGRAM:P0").alias("source_id"), F.lit("CALLS").alias("rel_type"), F.col("asset_id").alias("target_id"), F.lit(1.0).alias("confidence"), F.lit("confirmed").alias("status"))
+    e = Estate(a, r)
+    files, _, _, stats = e.required_files("PROGRAM:P0", depth=2, limit=None)
+    assert files.count() == n and stats.first()["truncated"] is False
+    assert e.required_files("PROGRAM:P0", depth=2, limit=50)[0].count() == 50
