@@ -88,3 +88,11 @@ def test_required_files_are_not_cut(spark):
     files, _, _, stats = e.required_files("PROGRAM:P0", depth=2, limit=None)
     assert files.count() == n and stats.first()["truncated"] is False
     assert e.required_files("PROGRAM:P0", depth=2, limit=50)[0].count() == 50
+
+
+def test_lines_of_the_code_graph_are_put_in_order_once(spark, monkeypatch):
+    plans, write = [], Rounds.write
+    monkeypatch.setattr(Rounds, "write", lambda self, df: plans.append(_plan(df).split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]) or write(self, df))
+    e = estate_queries.estate(spark, "/root/testdata/sf0.001", detailed=True)
+    assert sum(p.count("Window [") for p in plans) == 1
+    assert e.relationships.where("rel_type = 'READS_TABLE'").count() and e.assets.where("asset_type = 'TABLE'").count()
