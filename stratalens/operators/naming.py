@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .graph import Rounds
+
 # Weight of a token by the kind of signal that shows it, and what a path that writes adds.
 WEIGHTS = {
     "driver": 5.0, "program": 3.5, "table_written": 5.5, "table_read": 3.0, "table": 2.2, "field": 2.6, "copybook": 2.0, "job": 2.2,
@@ -23,8 +25,11 @@ STEMS = ("CARD", "CRD", "AUTH", "PAY", "PMT", "STMT", "BAL", "ACCT", "CUST", "IN
 BY_TYPE = {"PROGRAM": "program", "JOB": "job", "TRANSACTION": "transaction", "COPYBOOK": "copybook", "TABLE": "table", "IMS_SEGMENT": "table", "DATASET": "dataset", "FILE": "dataset", "MQ_QUEUE": "queue", "FIELD": "field", "PARAGRAPH": "paragraph"}
 
 
-def signals(e, reached: DataFrame) -> DataFrame:
-    """(root, signal, value) of what each root reaches (root, id): assets by type, tables by access, kinds of relationship."""
+def signals(e, reached: DataFrame, once: bool = True) -> DataFrame:
+    """(root, signal, value) of what each root reaches (root, id): assets by type, tables by access, kinds of relationship.
+
+    scored() counts a token once however often it is shown, so rows for it need not be told apart before (once=False).
+    """
     kinds = F.create_map(*[F.lit(x) for kv in BY_TYPE.items() for x in kv])
     bare = lambda c: F.substring_index(F.substring_index(c, ":", -1), ".", -1)
     near = reached.select("root", "id").distinct()
@@ -34,7 +39,8 @@ def signals(e, reached: DataFrame) -> DataFrame:
     table = F.substring_index("target_id", ":", 1) == "TABLE"
     access = out.where(table & F.col("rel_type").isin("READS", "READS_TABLE", "WRITES", "WRITES_TABLE")).select("root", F.when(F.col("rel_type").startswith("WRITES"), "table_written").otherwise("table_read").alias("signal"), bare("target_id").alias("value"))
     into = out.select("root", kinds[F.substring_index("target_id", ":", 1)].alias("signal"), bare("target_id").alias("value")).where("signal IS NOT NULL")
-    return own.union(driver).union(access).union(into).union(out.select("root", F.lit("relationship"), F.col("rel_type"))).distinct()
+    shown = own.union(driver).union(access).union(into).union(out.select("root", F.lit("relationship"), F.col("rel_type")))
+    return shown.distinct() if once else shown
 
 
 def parts(value: Column, longest: int) -> Column:
@@ -49,10 +55,12 @@ def scored(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """(root, label, domain, service, score, kinds, matched) of each label that a root shows any token of."""
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     p = patterns.select("label", "domain", "service", "signal", F.upper(F.regexp_replace("token", "[^A-Za-z0-9]+", "_")).alias("token"))
+    # as written, patterns that are few go to where the signals are
+    p = Rounds(patterns.sparkSession, "patterns").write(p)
     boost = patterns.groupBy("label").agg(F.max(F.coalesce("boost", F.lit(0.0))).alias("boost"), F.max(F.col("signal") == "table_written").alias("writes"))
     # a row: how many words the longest token has
     longest = p.agg(F.max(F.size(F.split("token", "_")))).first()[0] or 1
-    shown = found.select("root", "signal", "value", F.explode(parts(F.col("value"), longest)).alias("token"))
+    shown = found.join(p.select("signal").distinct(), "signal", "left_semi").select("root", "signal", "value", F.explode(parts(F.col("value"), longest)).alias("token"))
     hit = shown.join(p, ["signal", "token"]).groupBy("root", "label", "domain", "service", "signal", "token").agg(F.min("value").alias("value"))
     wrote = found.where("signal = 'table_written'").select("root").distinct().withColumn("wrote", F.lit(True))
     by = hit.groupBy("root", "label", "domain", "service").agg(F.sum(weight[F.col("signal")]).alias("score"), F.count_distinct("signal").alias("kinds"), F.sort_array(F.collect_list(F.struct("signal", "value", "token"))).alias("matched"))
