@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import deep_queries, estate_queries, extraction, semantics, sqlmodel
+from stratalens.operators import assemble, deep_queries, estate_queries, extraction, semantics, sqlmodel
 from stratalens.operators.estate_graph import Estate
 from stratalens.operators.graph import Rounds
 
@@ -96,3 +96,17 @@ def test_lines_of_the_code_graph_are_put_in_order_once(spark, monkeypatch):
     e = estate_queries.estate(spark, "/root/testdata/sf0.001", detailed=True)
     assert sum(p.count("Window [") for p in plans) == 1
     assert e.relationships.where("rel_type = 'READS_TABLE'").count() and e.assets.where("asset_type = 'TABLE'").count()
+
+
+def test_tables_of_statements_need_no_join(spark, orders):
+    found = sqlmodel.sql_facts(deep_queries.programs(spark, orders))
+    assert "Join" not in _plan(found) and found.count() == 3600
+
+
+def test_assets_are_put_together_when_they_are_asked_for(spark):
+    rows = [("JCL/A", "//A JOB\n//S EXEC PGM=P\n//D DD DSN=X.Y,DISP=SHR", "jcl"), ("JCL/B", "//S EXEC PGM=Q\n//D DD DSN=X.Z", "jcl")]
+    e = assemble.build(spark.createDataFrame(rows, "path string, text string, artifact_type string"))
+    assert callable(e._assets) and callable(e._evidence)
+    assert {(r.source_id, r.target_id) for r in e.relationships.collect()} >= {("JOB:A", "PROGRAM:P"), ("JOB:A", "DATASET:X.Y")}
+    assert e.relationships.where("target_id = 'DATASET:X.Z'").isEmpty()
+    assert {"JOB:A", "PROGRAM:P", "DATASET:X.Y"} <= {r.asset_id for r in e.assets.collect()} and not e.evidence.isEmpty()
