@@ -81,3 +81,15 @@ def test_sets_of_few_things_take_few_rows(spark, monkeypatch):
     got = {(r["root"], r["n"]) for r in condense.reach_counts(_edges(spark, rows), held, spark.createDataFrame([("P0",), ("P39",), ("none",)], "id string")).collect()}
     want = lambda *ids: len({(i * 37 + j * 991) % 5000 for i in ids for j in range(5)})
     assert got == {("P0", want(0, 1)), ("P39", want(39))} and set(made) == {"bigint"}
+
+
+def test_ranks_are_those_of_plain_turns(spark):
+    rows = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("c", "e")]
+    ids = sorted({x for r in rows for x in r})
+    want = {i: 1 / len(ids) for i in ids}
+    out = {i: sum(r[0] == i for r in rows) for i in ids}
+    for _ in range(4):
+        lost = sum(want[i] for i in ids if not out[i])
+        want = {i: 0.15 / len(ids) + 0.85 * (sum(want[x] / out[x] for x, y in rows if y == i) + lost / len(ids)) for i in ids}
+    got = {r["id"]: r["rank"] for r in G.pagerank(_edges(spark, rows), turns=4).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in ids)
