@@ -46,3 +46,17 @@ def test_shared_things_weigh_as_their_pairs_do(spark, monkeypatch):
     assert not any("SortAggregate" in p for p in plans)
     want = G.communities(frame(calls + pairs), nodes, **how)
     assert sorted(got.collect()) == sorted(want.collect()) and 1 < want.select("community").distinct().count() < 32
+
+
+def test_candidates_of_a_thing_come_once_to_a_task():
+    # two vertices use thing 7, whose candidates are 3 (home of the first) and 9; the second also calls into 3
+    none = {c: None for c in ("k", "home", "size", "resource", "f", "c", "w", "s", "cs", "ins", "ss")}
+    rows = [{**none, "id": -1, "resource": 7, "cs": [9, 3], "ins": [5.0, 2.0], "ss": [20.0, 10.0]}]
+    rows += [{**none, "id": 1, "k": 2.0, "home": 3, "size": 10.0, "resource": 7, "f": 2.0, "c": 3, "w": 1.0, "s": 10.0}]
+    rows += [{**none, "id": 2, "k": 2.0, "home": 4, "size": 6.0, "resource": 7, "f": 1.0, "c": 4, "w": 0.0, "s": 6.0}, {**none, "id": 2, "k": 2.0, "home": 4, "size": 6.0, "c": 3, "w": 4.0, "s": 10.0}]
+    number, listed = pa.float64(), pa.list_(pa.float64())
+    shape = pa.schema([("id", pa.int64()), ("k", number), ("home", pa.int64()), ("size", number), ("resource", pa.int64()), ("f", number), ("c", pa.int64()), ("w", number), ("s", number), ("cs", pa.list_(pa.int64())), ("ins", listed), ("ss", listed)])
+    for most in (1, 2, 10):
+        batches = (pa.RecordBatch.from_pylist(rows[k : k + most], schema=shape) for k in range(0, len(rows), most))
+        got = [(r["id"], sorted((c, w, s) for c, w, s in zip(r["cs"], r["ins"], r["ss"]) if w)) for b in G._expanded(batches) for r in b.to_pylist()]
+        assert got == [(1, [(3, 1.0, 10.0), (9, 10.0, 20.0)]), (2, [(3, 2.0, 10.0), (9, 5.0, 20.0)]), (2, [(3, 4.0, 10.0)])]
