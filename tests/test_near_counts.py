@@ -1,7 +1,9 @@
 """What is near many roots is counted by bits: same counts as by rows, and no row for a root and a vertex."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,23 @@ def test_no_row_is_written_for_a_root_and_a_vertex(estate, monkeypatch):
 def test_no_roots_no_rows(spark, estate):
     estate.relationships = estate.relationships.where("rel_type <> 'EXECUTES'")
     assert estate.root_summary(depth=2, limit=None).isEmpty()
+
+
+@pytest.mark.parametrize("vertices", (10_000, 10_000_000, 400_000_000))
+def test_a_blocks_bits_keep_within_their_bound(vertices):
+    width = condense._width(2_000_000, vertices, 12, 2)
+    assert width % 64 == 0 and (width == 64 or width // 8 * vertices <= condense.HELD) and condense._width(2_000_000, vertices, 12, 8) <= width
+
+
+@pytest.mark.parametrize("last", (False, True))
+def test_a_task_holds_a_blocks_bits_once(last):
+    vertices, words, most = 1_200_000, 16, condense.LIST
+    lists = [list(range(k, min(k + most, vertices + 1))) for k in range(0, vertices + 1, most)]
+    col = lambda x, t: pa.array([x] * len(lists), t)
+    near = pa.RecordBatch.from_arrays([col(0, pa.int64()), col(1, pa.int32()), col(0, pa.int64()), col(b"\xff" * 8 * words, pa.binary()), pa.array(lists, pa.list_(pa.int32())), col([], pa.list_(pa.int32()))], names=["b", "part", "x", "bits", "ys", "zs"])
+    tracemalloc.start()
+    got = sum(b.num_rows for b in condense._walked(vertices, words, [(0, 0, vertices)], last)(iter([near])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = (vertices + 1) * words * 8 * (1 if last else 2)
+    assert got == (64 * words if last else vertices + 1) and peak < 1.5 * held
