@@ -110,3 +110,12 @@ def test_assets_are_put_together_when_they_are_asked_for(spark):
     assert {(r.source_id, r.target_id) for r in e.relationships.collect()} >= {("JOB:A", "PROGRAM:P"), ("JOB:A", "DATASET:X.Y")}
     assert e.relationships.where("target_id = 'DATASET:X.Z'").isEmpty()
     assert {"JOB:A", "PROGRAM:P", "DATASET:X.Y"} <= {r.asset_id for r in e.assets.collect()} and not e.evidence.isEmpty()
+
+
+def test_facts_are_written_when_assets_ask_for_them(spark, monkeypatch):
+    shapes, write = [], Rounds.write
+    monkeypatch.setattr(Rounds, "write", lambda self, df: shapes.append(tuple(df.columns)) or write(self, df))
+    rows = [("JCL/A", "//A JOB\n//S EXEC PGM=P\n//D DD DSN=X.Y,DISP=SHR", "jcl")]
+    e = assemble.build(spark.createDataFrame(rows, "path string, text string, artifact_type string"))
+    assert e.relationships.count() == 2 and assemble.SHAPE not in shapes
+    assert e.assets.count() == 3 and e.evidence.where("entity_kind = 'RELATIONSHIP'").count() == 2 and shapes.count(assemble.SHAPE) == 1
