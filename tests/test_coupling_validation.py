@@ -49,3 +49,13 @@ def test_validation_counts_dangling_and_null_ends_in_one_reading(spark, small):
     got = relational.queries()["validation_checks"](spark, small)
     assert sorted(map(tuple, got.collect())) == _oracle("validation_checks", small)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_program_is_sent_once_to_a_group(spark, small, monkeypatch):
+    # 5,000 blocks' programs go to 313 groups, not to 5,000 blocks; few programs still give each task a pair
+    assert relational._groups(5000 * relational.BLOCK, 12) == 313 and relational._groups(3 * relational.BLOCK, 12) == 3 and relational._groups(0, 12) == 1
+    monkeypatch.setattr(relational, "BLOCK", 10)
+    monkeypatch.setattr(relational, "GROUP", 3)
+    monkeypatch.setattr(relational, "_groups", lambda programs, tasks: -(-programs // (relational.GROUP * relational.BLOCK)))
+    got = relational.queries()["coupling"](spark, small)
+    assert sorted(map(tuple, got.collect())) == _oracle("coupling", small)
